@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
+from .abuse import found, rates, score_documents
 from .encode import encode_texts
 from .knn import near_pairs
 from .pack import pack_documents
@@ -50,8 +51,20 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return found(table(spark, d, "documents"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return score_documents(table(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rates(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_top, p3_found, p3_clean, p5_found, p6_ids, p7_pack)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_top, p3_found, p3_clean, p5_found, p6_ids, p7_pack, p8_found, p8_scores, p8_rates)}
 
 
 TOP = """
