@@ -10,6 +10,7 @@ from .abuse import found, rates, score_documents
 from .encode import encode_texts
 from .knn import near_pairs
 from .pack import pack_documents
+from .pairs import defects
 from .repeats import repeated_lines, without_repeated_lines
 from .split import split_blocks
 from .topn import top_n_per_group
@@ -39,6 +40,10 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(table(spark, d, "chunk_hits"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects(table(spark, d, "answers"), table(spark, d, "questions"), table(spark, d, "baseline_results"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_pairs(table(spark, d, "chunk_vectors"), table(spark, d, "emb_meta"))
 
@@ -64,7 +69,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_top, p3_found, p3_clean, p5_found, p6_ids, p7_pack, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_top, p3_found, p3_clean, p4_found, p5_found, p6_ids, p7_pack, p8_found, p8_scores, p8_rates)}
 
 
 TOP = """
