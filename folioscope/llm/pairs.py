@@ -19,7 +19,7 @@ ENDINGS = 1 << 17
 #: Signs before the end that the end model looks at, at most.
 REACH = 6
 #: How much more likely (natural log) answer and question must be in their own language than in the other's; more for a short question.
-MARGIN, SHORT = 6.0, 200.0
+MARGIN, SHORT = 15.0, 60.0
 #: An answer is broken off if a unit of text (a sentence, a line, the text) ends after its last signs less often than
 #: this; an answer that stops without a closing mark must be likelier to end there.
 LEAST_END, LEAST_OPEN_END = 0.0005, 0.9
@@ -228,7 +228,7 @@ def models(answers: DataFrame, questions: DataFrame, baseline: DataFrame) -> tup
         for batch in by_size(batches, "text"):
             for text, ends in zip(batch.column("text").to_pylist(), batch.column("ends").to_pylist()):
                 said = prose(text)
-                if said.count(" ") >= 5:
+                if said.count(" ") >= 2:
                     g = grams(said)
                     score = start[:, g].sum(1)
                     best = np.sort(score)

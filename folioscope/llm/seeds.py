@@ -7,37 +7,44 @@ SEEDS = {
     Each of these tables shows how the parameters are used and why they have been chosen by the authors. What is the difference between the two methods and where should they be used?
     There are many ways to write such a document, but most of them would not help the reader. After a few attempts the key is removed from the memory and cannot be read any more.
     It is recommended that the public part be stored with the others, as shown in the next section. Which of the following steps does this function require when it runs for the first time?
-    This means that nothing else has changed, although the names are new. We both know that they were working on it, and that the results will be published this year.""",
+    This means that nothing else has changed, although the names are new. We both know that they were working on it, and that the results will be published this year.
+    Give me the algorithm and define what it does. List the steps and the inputs, describe them and tell me how it is used, what it says about the rest and when.""",
     "de": """Das Gerät muss die Unterschrift prüfen, bevor es die Nachricht annimmt. Wird der Wert nicht gefunden, so gibt das Verfahren einen Fehler zurück und der Benutzer wird gebeten, es noch einmal zu versuchen.
     Jede dieser Tabellen zeigt, wie die Größen verwendet werden und warum sie von den Verfassern gewählt wurden. Was ist der Unterschied zwischen den beiden Wegen und wofür braucht man sie?
     Es gibt viele Möglichkeiten, ein solches Schreiben zu verfassen, aber die meisten würden dem Leser nicht helfen. Nach einigen Versuchen wird der Schlüssel aus dem Speicher gelöscht und kann nicht mehr gelesen werden.
     Es wird empfohlen, den öffentlichen Teil mit den anderen zu speichern, wie im nächsten Abschnitt gezeigt. Welche der folgenden Schritte sind nötig, sobald die Funktion zum ersten Mal läuft?
-    Das heißt, dass sich sonst nichts geändert hat, obwohl die Namen neu sind. Die Gruppe um ihn hat daran gearbeitet, ohne dass etwas verändert wurde, und die Ergebnisse sollen dieses Jahr erscheinen.""",
+    Das heißt, dass sich sonst nichts geändert hat, obwohl die Namen neu sind. Die Gruppe um ihn hat daran gearbeitet, ohne dass etwas verändert wurde, und die Ergebnisse sollen dieses Jahr erscheinen.
+    Gib mir den Algorithmus und erkläre, was er tut. Nenne die Schritte und die Eingaben, beschreibe sie und sag mir, wie man ihn benutzt, was er über den Rest sagt und wann.""",
     "fr": """L'appareil doit vérifier la signature avant d'accepter le message. Si la valeur est introuvable, le procédé renvoie une erreur et l'utilisateur est prié de recommencer.
     Chacun de ces tableaux montre comment les paramètres sont utilisés et pourquoi ils ont été choisis par les auteurs. Quelle est la différence entre les deux méthodes et où faut-il les employer?
     Il y a plusieurs façons d'écrire un tel document, mais la plupart n'aideraient pas le lecteur. Après quelques essais, la clé est effacée de la mémoire et ne peut plus être lue.
     Il est recommandé de conserver la partie publique avec les autres, comme on le voit dans la section suivante. Lesquelles de ces étapes sont nécessaires dès que la fonction est lancée pour la première fois?
-    Cela veut dire que rien d'autre n'a changé, bien que les noms soient nouveaux. Son équipe y a travaillé sans modifier le reste, et les résultats seront publiés cette année.""",
+    Cela veut dire que rien d'autre n'a changé, bien que les noms soient nouveaux. Son équipe y a travaillé sans modifier le reste, et les résultats seront publiés cette année.
+    Donne-moi l'algorithme et explique ce qu'il fait. Cite les étapes et les entrées, décris-les et dis-moi comment on l'utilise, ce qu'il dit au sujet du reste et quand.""",
     "es": """El aparato debe comprobar la firma antes de aceptar el mensaje. Si no se encuentra el valor, el proceso devuelve un error y se pide al usuario que lo intente otra vez.
     Cada una de estas tablas muestra cómo se usan los parámetros y por qué los han elegido los autores. ¿Cuál es la diferencia entre los dos métodos y para qué sirven?
     Hay muchas maneras de escribir un documento así, pero la mayoría no ayudaría al lector. Tras unos intentos la clave se borra de la memoria y ya no se puede leer.
     Se recomienda guardar la parte pública con las demás, como se ve en la sección siguiente. ¿Qué pasos son necesarios en cuanto la función se ejecuta por primera vez?
-    Esto quiere decir que nada más ha cambiado, aunque los nombres sean nuevos. El grupo trabajó en ello sin que cambiara el resto, mientras que los resultados quedarán para este año.""",
+    Esto quiere decir que nada más ha cambiado, aunque los nombres sean nuevos. El grupo trabajó en ello sin que cambiara el resto, mientras que los resultados quedarán para este año.
+    Dame el algoritmo y explica lo que hace. Enumera los pasos y las entradas, descríbelos y dime cómo se usa, qué dice sobre el resto y cuándo.""",
     "it": """L'apparecchio deve verificare la firma prima di accettare il messaggio. Se il valore non viene trovato, il processo restituisce un errore e si chiede all'utente di riprovare.
     Ognuna di queste tabelle mostra come si usano i parametri e perché sono stati scelti dagli autori. Qual è la differenza tra i due metodi e dove si devono usare?
     Ci sono molti modi di scrivere un documento del genere, ma la maggior parte non aiuterebbe il lettore. Dopo alcuni tentativi la chiave viene cancellata dalla memoria e non può più essere letta.
     Si raccomanda di conservare la parte pubblica con le altre, come si vede nella sezione seguente. Quali di questi passi sono necessari appena la funzione viene eseguita per la prima volta?
-    Ciò vuol dire che non è cambiato nient'altro, anche se i nomi sono nuovi. Il gruppo ci ha lavorato senza che il resto cambiasse, mentre gli esiti usciranno quest'anno; si veda anche l'allegato.""",
+    Ciò vuol dire che non è cambiato nient'altro, anche se i nomi sono nuovi. Il gruppo ci ha lavorato senza che il resto cambiasse, mentre gli esiti usciranno quest'anno; si veda anche l'allegato.
+    Dammi l'algoritmo e spiega che cosa fa. Elenca i passi e gli ingressi, descrivili e dimmi come si usa, che cosa dice sul resto e quando.""",
     "pt": """O aparelho deve verificar a assinatura antes de aceitar a mensagem. Se o valor não for encontrado, o processo devolve um erro e pede-se ao utilizador que tente outra vez.
     Cada uma destas tabelas mostra como se usam os parâmetros e por que foram escolhidos pelos autores. Qual é a diferença entre os dois métodos e para que servem?
     Há muitas maneiras de escrever um documento assim, mas a maioria não ajudaria o leitor. Depois de algumas tentativas a chave é apagada da memória e já não pode ser lida.
     Recomenda-se guardar a parte pública com as outras, como se vê na secção seguinte. Quais destes passos são necessários quando a função é executada pela primeira vez?
-    Isto quer dizer que nada mais mudou, embora os nomes sejam novos. O grupo trabalhou nisso sem que o resto mudasse, e os resultados serão publicados ainda este ano.""",
+    Isto quer dizer que nada mais mudou, embora os nomes sejam novos. O grupo trabalhou nisso sem que o resto mudasse, e os resultados serão publicados ainda este ano.
+    Dá-me o algoritmo e explica o que faz. Enumera os passos e as entradas, descreve-os e diz-me como se usa, o que diz sobre o resto e quando.""",
     "nl": """Het apparaat moet de handtekening controleren voordat het de boodschap aanneemt. Als de waarde niet wordt gevonden, geeft het proces een fout terug en wordt de gebruiker gevraagd het nog eens te proberen.
     Elk van deze tabellen laat zien hoe de grootheden worden gebruikt en waarom de schrijvers ze hebben gekozen. Wat is het verschil tussen de twee wijzen en waarvoor zijn ze nodig?
     Er zijn veel manieren om zo'n stuk te schrijven, maar de meeste zouden de lezer niet helpen. Na een paar pogingen wordt de sleutel uit het geheugen gewist en kan hij niet meer worden gelezen.
     Het is aan te raden het openbare deel bij de andere te bewaren, zoals in het volgende hoofdstuk te zien is. Welke van deze stappen zijn nodig zodra de functie voor het eerst loopt?
-    Dit betekent dat er verder niets is veranderd, hoewel de namen nieuw zijn. De groep heeft eraan gewerkt zonder dat de rest veranderde, en de uitkomsten verschijnen dit jaar.""",
+    Dit betekent dat er verder niets is veranderd, hoewel de namen nieuw zijn. De groep heeft eraan gewerkt zonder dat de rest veranderde, en de uitkomsten verschijnen dit jaar.
+    Geef mij het algoritme en leg uit wat het doet. Noem de stappen en de invoer, beschrijf ze en zeg mij hoe het wordt gebruikt, wat het over de rest zegt en wanneer.""",
 }
 
 #: What may stand before a question or an answer without belonging to it (patterns).
