@@ -1,30 +1,48 @@
 """Exact dense search over stored vectors."""
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Query vectors that one pass over the index carries, at most (bytes); more are searched in several passes.
 CARRIED = 64_000_000
 
 
+def bound(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def normalized(v: Column) -> Column:
     """A vector of length 1 in double precision; a zero vector stays."""
-    v = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    doubles = F.transform(v, lambda x: x.cast("double"))
+    norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x))
+    pair = bound(doubles, lambda w: F.struct(w.alias("v"), norm(w).alias("n")))
+    return bound(pair, lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x / p["n"])).otherwise(p["v"]))
 
 
 def hashed_vector(tokens: Column, dim: int = 64) -> Column:
     """A stand-in for an encoder (G09): signed counts of hashed tokens; deterministic, of length 1."""
-    slot = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim))
-    sign = lambda t: F.when(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
-    slots = F.transform(tokens, lambda t: F.struct(slot(t).alias("i"), sign(t).alias("s")))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(slots, lambda x: x["i"] == i), F.lit(0.0), lambda a, x: a + x["s"]))
-    return normalized(vector)
+    @pandas_udf(ArrayType(DoubleType()))
+    def encode(s: pd.Series) -> pd.Series:
+        out = []
+        for words in s:
+            v = np.zeros(dim)
+            for w in () if words is None else words:
+                h = zlib.crc32(w.encode())
+                v[h % dim] += 1.0 if h & 0x80000000 else -1.0
+            n = np.linalg.norm(v)
+            out.append(v / n if n else v)
+        return pd.Series(out)
+
+    return encode(tokens)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

@@ -15,8 +15,8 @@ def rrf(rankings: DataFrame, k: int, k0: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ``qid, ranking_id, rank`` + hit columns: ``qid``, hit, ``score, rank``.
 
     A chunk gets 1 / (k0 + rank) from every ranking it stands in.  The row that
-    represents it is the first by document, page and chunk; ties of the score
-    go the same way.  One shuffle by (query, chunk) with partial sums, one by
+    represents it is the first by document, page and chunk, its text any that
+    is not null; ties of the score go the same way.  One shuffle by (query, chunk) with partial sums, one by
     query with the rank filter before it.
     """
     if k0 <= 0:
@@ -24,9 +24,9 @@ def rrf(rankings: DataFrame, k: int, k0: int = 60) -> DataFrame:
     key = F.struct("doc_id", "start_page", "chunk_id")
     fused = rankings.groupBy("qid", "chunk_id").agg(
         F.round(F.sum(1.0 / (k0 + F.col("rank"))), 12).alias("score"),
-        F.min(F.struct(key.alias("key"), *[F.col(c).alias(f"_{c}") for c in HIT[1:]])).alias("_best"),
+        F.min(F.struct(key.alias("key"), *[F.col(c).alias(f"_{c}") for c in HIT[1:4]])).alias("_best"), F.max("text").alias("text"),
     )
-    fused = fused.select("qid", "chunk_id", *[F.col(f"_best._{c}").alias(c) for c in HIT[1:]], "score")
+    fused = fused.select("qid", "chunk_id", *[F.col(f"_best._{c}").alias(c) for c in HIT[1:4]], "text", "score")
     order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "start_page", "chunk_id")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -86,7 +86,7 @@ def technical_tokens(s, d):
 
 
 def acronym_counts(s, d):
-    rows = table(s, d, "documents").select(F.explode(T.acronyms(F.col("text"))).alias("acronym"))
+    rows = table(s, d, "documents").select(F.explode(T.acronyms(F.regexp_replace("text", r"[^\x21-\x7e]+", " "))).alias("acronym"))
     return rows.groupBy("acronym").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -113,7 +113,7 @@ def dehyphenated(s, d):
 
 
 def canon_lines(s, d):
-    rows = table(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("x")).where(F.col("x").rlike(r"^[\x20-\x7e]*$"))
+    rows = table(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("x")).where(F.col("x").rlike(r"^[\x20-\x7e]*\z"))
     return rows.groupBy(T.canon_line(F.col("x")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -134,7 +134,7 @@ def section_titles(s, d):
 
 
 def previews(s, d):
-    return chunks_of_hits(s, d).where(F.col("text").rlike(r"^[\x0a\x20-\x7e]*$")).select("chunk_id", T.preview(F.col("text"), 80).alias("preview"))
+    return chunks_of_hits(s, d).where(F.col("text").rlike(r"^[\x0a\x20-\x7e]*\z")).select("chunk_id", T.preview(F.col("text"), 80).alias("preview"))
 
 
 def topic_tokens(s, d):
@@ -192,7 +192,7 @@ def numbered_store(s, d):
 
 
 def embedding_texts(s, d):
-    rows = sectioned_chunks(s, d).where(F.col("text").rlike(r"^[\x0a\x20-\x7e]*$"))
+    rows = sectioned_chunks(s, d).where(F.col("text").rlike(r"^[\x0a\x20-\x7e]*\z"))
     return rows.select("chunk_id", F.md5(T.embedding_text(F.col("doc_id"), F.col("section_path"), F.col("text"))).alias("digest"))
 
 
@@ -327,7 +327,7 @@ def planned_topk(s, d):
 # ---- evidence and answers ------------------------------------------------------------------------------------
 
 def best_hits(s, d):
-    return evidence.best_hits(hits(s, d)).select("qid", "chunk_id", "hit_id", "score")
+    return evidence.best_hits(hits(s, d)).select("qid", "chunk_id", "score")
 
 
 def context_budget(s, d):
