@@ -27,7 +27,7 @@ STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 LEET, MASK, DROP, FOLD = 0.3, 1.2, 2.5, 0.2
 
 _SPACED = re.compile(r"(?<![\w*@$])(?:[a-z0-9@$*!][ .\-_]{1,2}){2,}[a-z0-9@$*!](?![\w*@$])")
-_ODD = re.compile(r"[a-z0-9@$*!|+€£]*(?:[a-z][@$*!0-9|+€£]|[@$*0-9+€£][a-z]|([a-z])\1\1)[a-z0-9@$*!|+€£]*")
+_ODD = re.compile(r"(?<![a-z0-9@$*!|+€£])(?=[a-z0-9@$*!|+€£]*?(?:[a-z][@$*!0-9|+€£]|[@$*0-9+€£][a-z]|([a-z])\1\1))[a-z0-9@$*!|+€£]+")
 _PARTED = re.compile(r"(?<![\w-])([a-z]+)[-_.·~/]([a-z]+)(?![\w-])")
 
 
@@ -58,6 +58,7 @@ class Speller:
                 at = self.next[at][c]
                 self.weight[at] += 1
             self.word[at] = w
+        self.starts = {w[:3] for w in self.word if w}
 
     def step(self, at: int, c: str) -> tuple[int, float] | None:
         to = self.next[at].get(c)
@@ -144,7 +145,8 @@ def restore(text: str) -> str:
 
     def parted(m: re.Match) -> str:
         # a word with one sign set into it; two words of their own stay apart
-        return model.decode(m.group(1) + m.group(2)) or m.group()
+        word = m.group(1) + m.group(2)
+        return (word[:3] in model.starts and model.decode(word)) or m.group()
 
     text = _SPACED.sub(joined, text)
     text = _ODD.sub(odd, text)
