@@ -50,7 +50,9 @@ def rerank(hits: DataFrame, queries: DataFrame, index: lexical.Index, top_k: int
         rows = rows.withColumn("section", F.lit(0.0))
     else:
         rows = rows.join(section_prior(hits, sections, metadata), ["qid", "chunk_id"], "left").fillna({"section": 0.0})
-    rows = rows.withColumn("overlap", rewrite.anchor_overlap(F.col("anchors"), F.lower(join(F.coalesce("text", F.lit(""))))))
+    # a column of its own: an Arrow UDF cannot stand inside an array function
+    rows = rows.withColumn("_body", F.lower(join(F.coalesce("text", F.lit("")))))
+    rows = rows.withColumn("overlap", rewrite.anchor_overlap(F.col("anchors"), F.col("_body")))
     all_of = W.partitionBy("qid")
     prior = fuse.minmax(F.col("score"), all_of)
     flat = F.max("score").over(all_of) <= F.min("score").over(all_of)
