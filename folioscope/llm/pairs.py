@@ -40,7 +40,8 @@ _LABEL = re.compile(rf"^[\s>*#=\"'_-]*(?:{'|'.join(LABELS)})[\s:=*#-]*", re.I)
 _PLACEHOLDER = re.compile(rf"(?:{'|'.join(PLACEHOLDERS)})", re.I)
 _REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS))
 _FILLER = re.compile("|".join(f"(?:{x})" for x in FILLERS))
-_CUT_MARK = re.compile(r"(?:…|\.\.\.)\s*[\[(]?\s*(?:truncated|cut|continued|abgeschnitten|gekürzt|tronqué|truncado|troncato)?\s*[\])]?$|[\[(<]\s*(?:truncated|max(?:imum)? (?:tokens?|length)|cut off|token limit|output limit|continued|length limit)[^\])>]*[\])>]?$", re.I)
+_STOPS = r"(?:output |text |answer )?(?:truncated|cut|snip|stop|max|token|length|limit|continue|end of|eof|abgeschnitten|gek[üu]rzt|coup|tronqu|cortad|truncad|troncat|tagliat)"
+_CUT_MARK = re.compile(rf"(?:…|\.\.\.)\s*(?:[\[(<][^\])>]*[\])>])?$|[\[(<]+\s*{_STOPS}[^\])>]*[\])>]+$", re.I)
 
 
 def _flat(text: str) -> str:
@@ -140,6 +141,8 @@ def _copies(question: str, answer: str) -> bool:
     covered = len(known & set(a)) / len(known)
     if any(c.isdigit() for w in new for c in w):
         return False
+    if a[-len(q) :] == q and len(a) - len(q) <= 4:
+        return True  # a few words before it, "the question was"
     return covered >= 0.6 and len(new) <= (1 if covered >= 0.75 else 0) or covered >= 0.9 and len(new) <= 0.12 * len(a)
 
 

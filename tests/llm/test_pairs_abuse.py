@@ -16,7 +16,7 @@ def test_short_answers_are_sound(text):
     assert not _say_nothing(text) and not _copies(Q, text) and not _refuses(text) and not _breaks_off(text)
 
 
-@pytest.mark.parametrize("text", [Q, Q.lower(), f"You asked: {Q}", f"{Q}\n{Q}", "> " + Q + " [c1]", "What  is  the role of the hash tree FooBar-128!", "What is the role of the hash tree in"])
+@pytest.mark.parametrize("text", [Q, Q.lower(), f"You asked: {Q}", f"{Q}\n{Q}", "> " + Q + " [c1]", f"The question put was: {Q}", "What  is  the role of the hash tree FooBar-128!", "What is the role of the hash tree in"])
 def test_copies(text):
     assert _copies(Q, text)
 
@@ -36,7 +36,7 @@ def test_an_answer_after_an_apology_is_no_refusal():
     assert not _refuses("If the root is not found, the receiver must refuse the request [c2].")
 
 
-@pytest.mark.parametrize("text", ["```\n1: a <- b\n2:", "The tree binds (every leaf to", "First [c1].\n2.", "It is the following:", "The tree binds the", "It holds [c1, c", "It holds the key …(truncated)", "It holds the key [max tokens reached]"])
+@pytest.mark.parametrize("text", ["```\n1: a <- b\n2:", "The tree binds (every leaf to", "First [c1].\n2.", "It is the following:", "The tree binds the", "It holds [c1, c", "It holds the key …(truncated)", "It holds the key [max tokens reached]", "It holds the key before <cut>"])
 def test_broken_off(text):
     assert _breaks_off(text)
 
