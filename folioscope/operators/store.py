@@ -4,19 +4,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from ..session import checkpointing
 
 
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``name`` = 0, 1, 2 ... in the given order, without bringing all rows into one task.
 
-    The rows are range-partitioned and sorted; the sizes of the partitions
-    (one row each) give every partition its offset.
+    The rows are range-partitioned, sorted and written to the checkpoint
+    folder, so that their places are fixed once; the sizes of the partitions
+    (one row each) then give every partition its offset.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_i") - 1).cast("long")).drop("_p", "_i", "_before")
+    spark = df.sparkSession
+    checkpointing(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_m", 33)  # the id holds the partition above 33 bits of the row's place in it
+    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n")).orderBy("_p").collect()
+    before, total = [], 0
+    for r in sizes:
+        before += [F.lit(r["_p"]), F.lit(total)]
+        total += r["_n"]
+    offset = F.create_map(*before)[part] if before else F.lit(0)
+    place = F.col("_m") - F.shiftleft(part, 33)
+    return placed.withColumn(name, (offset + place).cast("long")).drop("_m")
 
 
 def build_store(chunks: DataFrame) -> DataFrame:
