@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
-from . import fuse
+from ..session import checkpointing
 
 # How headers, identifiers, definitions and terms look, and the words that name sections and terms.
 HEADER = r"(?im)^\s*(Algorithm\s+\d+\b[^\n]*)"
@@ -170,11 +170,12 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaf = F.element_at(F.split("path", " > "), -1)
     props = F.to_json(F.struct(F.size(F.split("path", " > ")).alias("depth"), F.col("path").alias("full_section_path"), leaf.alias("leaf_title")))
     sections = sections.select(sid.alias("node_id"), F.lit("Section").alias("label"), "doc_id", "start_page", "end_page", leaf.alias("display_name"), props.alias("properties"))
-    anchored = anchors(chunks)
+    checkpointing(chunks.sparkSession)
+    anchored = anchors(chunks).checkpoint()  # read by the nodes, the edges and the terms
     alg = T.make_id("alg", F.col("doc_id"), F.col("number"))
     props = F.to_json(F.struct(F.col("label").alias("algorithm_label"), F.col("name").alias("algorithm_name"), F.col("number").alias("algorithm_number"), F.col("header").alias("raw_header"), "section_id"))
     algorithms = anchored.select(alg.alias("node_id"), F.lit("Algorithm").alias("label"), "doc_id", "start_page", "end_page", F.col("label").alias("display_name"), props.alias("properties"))
-    terms = term_stats(chunks, anchored)
+    terms = term_stats(chunks, anchored).checkpoint()
     tid = T.make_id("term", F.col("term"))
     props = F.to_json(F.struct("definition_strength", F.col("term").alias("normalized_term"), "surface_forms", "term_type"))
     term_nodes = terms.select(tid.alias("node_id"), F.lit("Term").alias("label"), F.lit(None).cast("string").alias("doc_id"), null_int.alias("start_page"), null_int.alias("end_page"), "display_name", props.alias("properties"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from ..session import checkpointing
 
 K1, B = 1.5, 0.75
 
@@ -33,6 +34,12 @@ def build_index(docs: DataFrame, key: str = "vector_id", text: str = "text", *,
     return Index(postings, lengths, terms, corpus)
 
 
+def stored(index: Index) -> Index:
+    """The index with its tables written to the checkpoint folder, for several uses in one session."""
+    checkpointing(index.postings.sparkSession)
+    return Index(*(t.checkpoint() for t in (index.postings, index.docs, index.terms, index.corpus)))
+
+
 def write_index(index: Index, path: str, buckets: int = 64) -> None:
     """The four tables; postings are clustered by term, so a query reads the files of its terms."""
     index.postings.repartition(buckets, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")

@@ -15,6 +15,7 @@ from .. import api
 from ..conf import EngineConf
 from ..functions import text as T
 from ..operators import agent, chunk, clean, dense, evalkit, evidence, fuse, graph, lexical, manifest, planner, rerank, retrieve, rewrite, store, trace
+from ..session import checkpointing
 from ..sources.tables import table
 from ..streaming import pages as streaming
 from .oracles import oracle_sql  # noqa: F401 - part of this module's interface
@@ -298,7 +299,7 @@ def corpus(s, d, normalize: bool = False) -> retrieve.Corpus:
 
 def rerank_hits(s, d):
     """Gated reranking of the fused hits of all questions."""
-    index = lexical.build_index(chunk_store(s, d), normalize=False)
+    index = lexical.stored(lexical.build_index(chunk_store(s, d), normalize=False))
     asked = questions(s, d).select("qid", F.col("question").alias("query"))
     out = rerank.rerank(fused(s, d, 40), asked, index, 40, normalize=False)
     return out.select("qid", "chunk_id", "fused_rank", "rank", "promoted", F.round("promotion", 6).alias("promotion"))
@@ -427,14 +428,19 @@ def graph_terms(s, d):
     return graph.term_stats(rows, graph.anchors(rows)).select("term", "display_name", "term_type", "definition_strength", F.size("sections").alias("n_sections"), F.size("doc_ids").alias("n_docs"))
 
 
+def built_graph(s, d):
+    checkpointing(s)
+    return tuple(x.checkpoint() for x in graph.build(sectioned_chunks(s, d)))
+
+
 def term_lookup(s, d):
-    nodes, edges = graph.build(sectioned_chunks(s, d))
+    nodes, edges = built_graph(s, d)
     asked = s.createDataFrame([(p, p) for p in graph.PHRASES], "qid string, query string")
     return graph.lookup_terms(asked, nodes, edges).select("qid", "match_reason", F.size("doc_ids").alias("n_docs"), F.size("section_ids").alias("n_sections"))
 
 
 def algorithm_lookup(s, d):
-    nodes, edges = graph.build(sectioned_chunks(s, d))
+    nodes, edges = built_graph(s, d)
     asked = questions(s, d).where(F.col("question").rlike(rewrite.ALGORITHM_NUMBER)).select("qid", F.col("question").alias("query"))
     return graph.lookup_algorithms(asked, nodes, edges).select("qid", "match_reason", F.size("doc_ids").alias("n_docs"), "ambiguous")
 
@@ -512,7 +518,7 @@ def hit_rates(s, d):
 
 
 def miss_causes(s, d):
-    index = lexical.build_index(chunk_store(s, d), normalize=False)
+    index = lexical.stored(lexical.build_index(chunk_store(s, d), normalize=False))
     asked = questions(s, d).select("qid", F.col("question").alias("query"))
     before = fused(s, d)
     after = rerank.rerank(before.where("rank <= 40"), asked, index, 40, normalize=False)
