@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .. import api
 from ..conf import EngineConf
 from ..functions import text as T
-from ..operators import agent, chunk, clean, dense, evalkit, evidence, fuse, graph, lexical, manifest, planner, rerank, retrieve, rewrite, store, trace
+from ..operators import agent, chunk, clean, dense, evalkit, evidence, fuse, graph, lexical, manifest, planner, reports, rerank, retrieve, rewrite, store, trace
 from ..session import checkpointing
 from ..sources.tables import table
 from ..streaming import pages as streaming
@@ -545,6 +545,20 @@ def config_summary(s, d):
     return evalkit.summarize(rows.withColumn("config", F.coalesce(F.nullif("notes", F.lit("")), F.lit("plain"))))
 
 
+def question_report(s, d):
+    before = fused(s, d)
+    return reports.question_report(before, before.where("rank <= 40"), questions(s, d), KS, 40, 8).select("qid", "recall", "mrr", "ndcg", "before", "after", "cause")
+
+
+def spec_hits(s, d):
+    rows = fused(s, d, 8)
+    return rows.where("rank <= 5").groupBy("qid").agg(F.count_if(reports.spec_like("CRB.HB.100")).alias("n"))
+
+
+def page_totals(s, d):
+    return reports.page_totals(pages(s, d)).select("doc_id", "n_pages", "n_chars")
+
+
 def table_hashes(s, d):
     return manifest.table_hash(table(s, d, "sources"))
 
@@ -559,7 +573,7 @@ QUERIES: list[Query] = [
     algorithm_headers, mentioned_algorithms, phrase_terms, section_edges, document_spans, algorithm_anchors, graph_nodes, graph_edges, graph_terms, term_lookup,
     algorithm_lookup, graph_export, evidence_assessment, agent_answers, trace_carry_forward, trace_by_node, trace_latest, windowed_events, gold_overlap,
     gold_first_ranks, retrieval_metrics, mean_retrieval_metrics, mrr, hit_rates, miss_causes, doc_diversity, question_counts, question_problems, config_summary,
-    table_hashes,
+    question_report, spec_hits, page_totals, table_hashes,
 ]
 
 

@@ -235,4 +235,8 @@ select k, round(avg(case when s.r <= k then 1.0 else 0 end), 6) as strict, round
 from q cross join k left join s on s.qid = q.qid left join docs on docs.qid = q.qid left join t on t.qid = q.qid where len(gold) > 0 group by k"""
     w["doc_diversity"] = f"with {FUSED} select qid, count(distinct doc_id) as n_docs from fused where rk <= 8 group by qid"
     w["question_counts"] = f"with {QUESTIONS} select count(*) as n, count(*) filter (where answerable) as n_answerable, count(*) filter (where len(gold) > 0) as n_labelled, count(*) filter (where answerable is null) as n_unknown from q"
+    w["spec_hits"] = f"""
+with {FUSED} select qid, count(*) filter (where doc_id = 'CRB.HB.100' and (start_page >= 20 or regexp_matches(lower(coalesce(text, '')), 'algorithm|keygen|decaps|parameter set'))) as n
+from fused where rk <= 5 group by qid"""
+    w["page_totals"] = f"with {PAGES} select doc_id, count(*) as n_pages, cast(sum(length(coalesce(text, ''))) as bigint) as n_chars from pages group by doc_id"
     return w
