@@ -239,4 +239,44 @@ from q cross join k left join s on s.qid = q.qid left join docs on docs.qid = q.
 with {FUSED} select qid, count(*) filter (where doc_id = 'CRB.HB.100' and (start_page >= 20 or regexp_matches(lower(coalesce(text, '')), 'algorithm|keygen|decaps|parameter set'))) as n
 from fused where rk <= 5 group by qid"""
     w["page_totals"] = f"with {PAGES} select doc_id, count(*) as n_pages, cast(sum(length(coalesce(text, ''))) as bigint) as n_chars from pages group by doc_id"
+    w["retrieval_metrics"] = f"""
+with recursive {FUSED}, {QUESTIONS}, g as (select qid, gold from q where len(gold) > 0),
+walk as (
+  select qid, gold, cast(0 as bigint) as rk, cast([] as bigint[]) as used, 0 as gain, 0 as hit from g
+  union all
+  select n.qid, n.gold, n.rk, case when n.m is null then n.used else list_append(n.used, n.m) end, case when n.m is null then 0 else 1 end, n.hit
+  from (select w.qid, w.gold, f.rk, w.used,
+          list_filter(range(len(w.gold)), lambda i: w.gold[i + 1].doc_id = f.doc_id and f.end_page >= w.gold[i + 1].start_page and w.gold[i + 1].end_page >= f.start_page and not list_contains(w.used, i))[1] as m,
+          case when len(list_filter(w.gold, lambda x: x.doc_id = f.doc_id and f.end_page >= x.start_page and x.end_page >= f.start_page)) > 0 then 1 else 0 end as hit
+        from walk w join fused f on f.qid = w.qid and f.rk = w.rk + 1 where f.rk <= 8) n),
+k as (select unnest([1, 3, 5, 8]) as k)
+select qid, k, round(sum(case when rk <= k then gain else 0 end) / max(len(gold)), 9) as recall,
+  round(coalesce(1.0::double / min(case when rk <= k and hit = 1 then rk end), 0), 9) as mrr,
+  round(sum(case when rk between 1 and k then gain / log2(rk + 1) else 0 end) / max(list_sum(list_transform(range(least(len(gold), k)), lambda i: 1 / log2(i + 2)))), 9) as ndcg
+from walk cross join k group by qid, k"""
+    term = "([A-Za-z0-9][A-Za-z0-9._-]*)"
+    w["rerank_hits"] = f"""
+with {INDEX}, {FUSED}, {QUESTIONS},
+asked as (select qid, question as query, case when regexp_matches(lower(question), 'compare|differences? between| vs | versus ') then 'compare' when regexp_matches(lower(question), 'algorithm|shake|table') then 'algorithm'
+  when regexp_matches(lower(question), '^(define|what is|what''s|what does)|stands for') then 'definition' else 'general' end as mode from q),
+named as (select *, coalesce(nullif(trim(regexp_extract(query, '(?i)what\\s+does\\s+{term}\\s+mean', 1), ' .;,:'), ''), nullif(trim(regexp_extract(query, '(?i)(?:definition\\s+of|define|what\\s+is|what(?:''s|\\s+is)|what\\s+does)\\s+{term}', 1), ' .;,:'), '')) as term from asked),
+anchored as (select qid, query, mode, list_distinct(list_filter(list_concat(list_transform(regexp_extract_all(query, '[A-Za-z0-9]+(?:[-._][A-Za-z0-9]+)+'), lambda x: lower(x)),
+  case when mode = 'definition' then list_concat(list_concat(list_transform(regexp_extract_all(query, '\\b[A-Z]{{2,8}}\\b'), lambda x: lower(x)), list_filter(['mlwe', 'lwe', 'sis', 'msis', 'kdf'], lambda x: contains(lower(query), x))), case when term is null then [] else [lower(term)] end) else [] end),
+  lambda x: x is not null and x <> '')) as anchors from named),
+base as (select f.qid, chunk_id, doc_id, start_page, score, rk, mode, coalesce(f.text, '') as text, query, anchors,
+  len(list_filter(anchors, lambda x: case when regexp_matches(x, '[._-]') then contains(lower(coalesce(f.text, '')), x) else regexp_matches(lower(coalesce(f.text, '')), '\\b' || x || '\\b') end)) as overlap
+  from fused f join anchored using (qid) where rk <= 40),
+pr as (select qid, chunk_id, {tokens('query')} as qt, {tokens('text')} as tt from base),
+c as (select qid, chunk_id, len(tt) as dl, unnest(list_distinct(qt)) as term, qt, tt from pr),
+n as (select qid, chunk_id, dl, term, len(list_filter(qt, lambda x: x = term)) as qtf, len(list_filter(tt, lambda x: x = term)) as tf from c),
+sc as (select qid, chunk_id, round(coalesce(sum(case when tf > 0 then {BM25} end), 0), 9) as bm25 from n left join terms using (term), corpus group by qid, chunk_id),
+j as (select base.*, bm25, min(score) over w as lo, max(score) over w as hi, count(*) over w as cnt, min(bm25) over w as blo, max(bm25) over w as bhi, max(overlap) over w as most
+  from base join sc using (qid, chunk_id) window w as (partition by qid)),
+m as (select *, case when hi > lo then (score - lo) / (hi - lo) when cnt > 1 then 1 - (rk - 1) / (cnt - 1) else 1 end as pn, case when bhi > blo then (bm25 - blo) / (bhi - blo) else 0 end as bn, case when most > 0 then overlap / most else 0 end as an,
+  case mode when 'definition' then [0.35, 0.45, 0.2] when 'algorithm' then [0.45, 0.2, 0.35] when 'compare' then [0.6, 0.3, 0.1] else [0.7, 0.2, 0.1] end as ws from j),
+g as (select *, round(ws[1] * pn + ws[2] * bn + ws[3] * an, 9) as promotion,
+  case mode when 'definition' then overlap >= 1 or bn >= 0.55 when 'algorithm' then overlap >= 2 or (overlap >= 1 and bn >= 0.6) when 'compare' then overlap >= 1 and bn >= 0.65 else overlap >= 2 or bn >= 0.7 end as passes from m),
+p as (select *, case when passes then row_number() over (partition by qid order by passes desc, promotion desc, rk, doc_id, start_page, chunk_id) end as place from g),
+r as (select *, row_number() over (partition by qid order by case when place <= 8 then place else 1000 + rk end) as final from p)
+select qid, chunk_id, cast(rk as integer) as fused_rank, cast(final as integer) as "rank", coalesce(place <= 8, false) as promoted, round(promotion, 6) as promotion from r where final <= 40"""
     return w
