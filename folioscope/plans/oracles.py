@@ -279,4 +279,42 @@ g as (select *, round(ws[1] * pn + ws[2] * bn + ws[3] * an, 9) as promotion,
 p as (select *, case when passes then row_number() over (partition by qid order by passes desc, promotion desc, rk, doc_id, start_page, chunk_id) end as place from g),
 r as (select *, row_number() over (partition by qid order by case when place <= 8 then place else 1000 + rk end) as final from p)
 select qid, chunk_id, cast(rk as integer) as fused_rank, cast(final as integer) as "rank", coalesce(place <= 8, false) as promoted, round(promotion, 6) as promotion from r where final <= 40"""
+    w["mean_retrieval_metrics"] = f"select k, count(*) as n, round(avg(recall), 9) as recall, round(avg(mrr), 9) as mrr, round(avg(ndcg), 9) as ndcg from ({w['retrieval_metrics']}) group by k"
+    w["miss_causes"] = f"""
+with {FUSED}, {QUESTIONS}, rr as (select qid, chunk_id, "rank" as rk from ({w['rerank_hits']})),
+gold as (select qid, unnest(gold) as g from q),
+before as (select f.qid, min(f.rk) as b from fused f join gold on f.qid = gold.qid and f.doc_id = g.doc_id and f.start_page <= g.end_page and f.end_page >= g.start_page group by f.qid),
+after as (select f.qid, min(rr.rk) as a from rr join fused f on rr.qid = f.qid and rr.chunk_id = f.chunk_id join gold on f.qid = gold.qid and f.doc_id = g.doc_id and f.start_page <= g.end_page and f.end_page >= g.start_page group by f.qid),
+c as (select case when b is null then 'upstream_missing' when b > 40 then 'outside_pool' when a <= 8 then 'retained_or_recovered' when a is null or a > b then 'rerank_demotion' when b > 8 then 'rerank_insufficient_promotion' else 'rerank_demotion' end as cause
+  from q left join before on before.qid = q.qid left join after on after.qid = q.qid where len(gold) > 0)
+select cause, count(*) as n from c group by cause"""
+    w["question_problems"] = """
+with t as (select *, trim(coalesce(qid, '')) as id, coalesce(gold, []) as g, count(*) over (partition by trim(coalesce(qid, ''))) as times from questions),
+p as (select unnest([case when id = '' then 'empty_qid' end, case when id <> '' and times > 1 then 'duplicate_qid' end, case when trim(coalesce(question, '')) = '' then 'empty_question' end,
+  case when answerable is null then 'answerable_missing' end,
+  case when len(list_filter(g, lambda x: x is null or trim(coalesce(x.doc_id, '')) = '' or coalesce(x.start_page, 0) <= 0 or coalesce(x.end_page, 0) <= 0 or x.start_page > x.end_page)) > 0 then 'bad_gold_span' end,
+  case when answerable and len(g) = 0 then 'answerable_without_gold' end, case when not answerable and len(g) > 0 then 'unanswerable_with_gold' end]) as problem from t)
+select problem, count(*) as n from p where problem is not null group by problem"""
+    w["evidence_select"] = f"""
+with {FUSED}, {CHUNKS},
+prim as (select * from (select *, row_number() over (partition by qid order by score desc, doc_id, start_page, end_page, chunk_id) as p from fused where rk <= 40) where p <= 6),
+ex as (select qid, p, -1 as s, chunk_id, text from prim
+  union all select p.qid, p.p, case when b.vector_id < a.vector_id then 0 else 1 end, b.chunk_id, b.text from prim p join store a on a.chunk_id = p.chunk_id and a.doc_id = p.doc_id join store b on b.doc_id = p.doc_id and abs(b.vector_id - a.vector_id) = 1),
+d as (select * from (select *, row_number() over (partition by qid, chunk_id order by p, s) as n from ex) where n = 1 and regexp_matches(coalesce(text, ''), '[^\\s\\p{{Z}}]')),
+t as (select *, row_number() over (partition by qid order by p, s) as pos, sum(length(text)) over (partition by qid order by p, s rows between unbounded preceding and current row) as total from d)
+select qid, cast(pos as integer) as pos, chunk_id from t where pos <= 6 and (pos = 1 or total <= 12000)"""
+    w["query_anchors"] = f"""
+with {QUESTIONS},
+asked as (select qid, question as query, case when regexp_matches(lower(question), 'compare|differences? between| vs | versus ') then 'compare' when regexp_matches(lower(question), 'algorithm|shake|table') then 'algorithm'
+  when regexp_matches(lower(question), '^(define|what is|what''s|what does)|stands for') then 'definition' else 'general' end as mode from q),
+named as (select *, coalesce(nullif(trim(regexp_extract(query, '(?i)what\\s+does\\s+{term}\\s+mean', 1), ' .;,:'), ''), nullif(trim(regexp_extract(query, '(?i)(?:definition\\s+of|define|what\\s+is|what(?:''s|\\s+is)|what\\s+does)\\s+{term}', 1), ' .;,:'), '')) as term from asked),
+found as (select qid, unnest(list_concat(list_transform(regexp_extract_all(query, '[A-Za-z0-9]+(?:[-._][A-Za-z0-9]+)+'), lambda x: lower(x)),
+  case when mode = 'definition' then list_concat(list_concat(list_transform(regexp_extract_all(query, '\\b[A-Z]{{2,8}}\\b'), lambda x: lower(x)), list_filter(['mlwe', 'lwe', 'sis', 'msis', 'kdf'], lambda x: contains(lower(query), x))), case when term is null then [] else [lower(term)] end) else [] end)) as anchor from named)
+select distinct qid, anchor from found where anchor <> ''"""
+    w["algorithm_anchors"] = f"""
+with {SECTIONED}, p as (select *, {PARTS} as p from blocks where section_path is not null),
+h as (select chunk_id, doc_id, page_number, p, 'section::' || doc_id || '::' || array_to_string(p, ' > ') as section_id, unnest(regexp_extract_all(coalesce(text, ''), '{header}', 1)) as line from p
+  where len(p) > 0 and trim(regexp_replace(lower(p[-1]), '\\s+', ' ', 'g')) not in ('contents', 'table of contents', 'list of algorithms', 'list of figures', 'list of tables')),
+k as (select doc_id, regexp_extract(line, '(?i)\\bAlgorithm\\s+(\\d+)\\b', 1) as number, section_id, page_number, (case when starts_with(lower(p[-1]), 'algorithm ') then 0 else 1 end, coalesce(page_number, 1000000000), -len(p), section_id, chunk_id) as key from h)
+select doc_id, number, arg_min(section_id, key) as section_id, arg_min(page_number, key) as start_page from k group by doc_id, number"""
     return w
