@@ -135,30 +135,29 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5, trees: int = TREES,
         F.array_sort(InternalFunction.collect_top_k(F.col("vector_id"), k + 1, True)).alias("heads"),
     ).checkpoint()
     reps = classes.select("path", "rep", "vec")
-    sizes = {r["path"]: r["count"] for r in reps.groupBy("path").count().where(F.col("count") > leaf).collect()}
-
+    large = reps.groupBy("path").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > leaf)
+    # about `sample` classes of each large collection, the same at every run
+    fraction = F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) / 1_000_003
+    drawn = reps.join(large, "path").where(fraction < F.lit(float(sample)) / F.col("total"))
+
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        x = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float32).reshape(len(pdf), -1)
+        dirs, cuts = fit(x, int(pdf["total"].iloc[0]), trees, leaf, xxhash.xxh32_intdigest(key[0]))
+        return pd.DataFrame({"path": [key[0]], "depth": [dirs.shape[1]], "dirs": [dirs.tobytes()], "cuts": [cuts.tobytes()]})
+
+    # a forest has some tens of kilobytes, and only collections beyond a leaf have one
     rounds: list[dict] = [{}]
-    if sizes:
-        # about `sample` classes of each large collection, the same at every run
-        share = F.create_map(*[F.lit(x) for p, n in sizes.items() for x in (p, min(1.0, sample / n))])
-        drawn = reps.where(F.col("path").isin(list(sizes))).where((F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) / 1_000_003) < share[F.col("path")])
-
-        def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("rep")
-            x = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float32).reshape(len(pdf), -1)
-            dirs, cuts = fit(x, sizes[key[0]], trees, leaf, xxhash.xxh32_intdigest(key[0]))
-            return pd.DataFrame({"path": [key[0]], "depth": [dirs.shape[1]], "dirs": [dirs.tobytes()], "cuts": [cuts.tobytes()]})
-
-        weight = 0
-        for r in drawn.groupBy("path").applyInPandas(grow, "path string, depth int, dirs binary, cuts binary").toLocalIterator():
-            forest = (np.frombuffer(r["dirs"], np.float32).reshape(trees, r["depth"], -1), np.frombuffer(r["cuts"], np.float32).reshape(trees, -1))
-            weight += len(r["dirs"]) + len(r["cuts"])
-            if weight > ROUND and rounds[-1]:
-                rounds.append({})
-                weight = len(r["dirs"]) + len(r["cuts"])
-            rounds[-1][r["path"]] = forest
-
-    def sender(forests: dict, rest: bool):
+    weight = 0
+    for r in drawn.groupBy("path").applyInPandas(grow, "path string, depth int, dirs binary, cuts binary").toLocalIterator():
+        forest = (np.frombuffer(r["dirs"], np.float32).reshape(trees, r["depth"], -1), np.frombuffer(r["cuts"], np.float32).reshape(trees, -1))
+        weight += len(r["dirs"]) + len(r["cuts"])
+        if weight > ROUND and rounds[-1]:
+            rounds.append({})
+            weight = len(r["dirs"]) + len(r["cuts"])
+        rounds[-1][r["path"]] = forest
+
+    def sender(forests: dict):
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 paths = np.array(batch.column("path").to_pylist(), dtype=object)
@@ -169,17 +168,18 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5, trees: int = TREES,
                         take = pa.array(np.repeat(np.arange(len(own)), tree.shape[1]))
                         cols = [own.column(c).take(take) for c in ("path", "rep", "vec")]
                         tree, node, member = tree.reshape(-1), node.reshape(-1), member.reshape(-1)
-                    elif rest and p not in sizes:
+                    else:  # a small collection is one leaf
                         cols = [own.column(c) for c in ("path", "rep", "vec")]
                         tree, node, member = np.zeros(len(own)), np.zeros(len(own)), np.ones(len(own), dtype=bool)
-                    else:
-                        continue
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(tree.astype(np.int32)), pa.array(node.astype(np.int64)), pa.array(member)], names=["path", "rep", "vec", "tree", "leaf", "member"])
         return send
 
+    names = spark.createDataFrame([(p, i) for i, forests in enumerate(rounds) for p in forests], "path string, round int")
+    numbered = reps.join(names, "path", "left") if len(rounds) > 1 else reps.withColumn("round", F.lit(0))
     sent = None
     for i, forests in enumerate(rounds):
-        part = reps.mapInArrow(sender(forests, i == 0), "path string, rep long, vec binary, tree int, leaf long, member boolean")
+        part = numbered.where(F.coalesce("round", F.lit(0)) == i).select("path", "rep", "vec")
+        part = part.mapInArrow(sender(forests), "path string, rep long, vec binary, tree int, leaf long, member boolean")
         sent = part if sent is None else sent.unionByName(part)
 
     def search(table: pa.Table) -> pa.Table:
