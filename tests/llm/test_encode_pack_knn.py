@@ -144,7 +144,7 @@ def test_rounds_give_the_same_pairs(spark, monkeypatch):
     from folioscope.llm import knn
 
     rng = np.random.default_rng(5)
-    rows = [(i, f"p{i % 3}", rng.normal(size=4).astype(np.float32).tolist(), "x") for i in range(700)] + [(9000 + i, "tiny", [1.0, i, 0.0, 0.0], "x") for i in range(3)]
+    rows = [(i, f"p{i % 3}", rng.normal(size=4).astype(np.float32).tolist(), "x") for i in range(700)] + [(9000 + i, "tiny", [1.0, float(i), 0.0, 0.0], "x") for i in range(3)]
     meta = spark.createDataFrame([("p0", 4, 0), ("p1", 4, 0), ("p2", 4, 0), ("tiny", 4, 0)], META)
     vectors = spark.createDataFrame(rows, VEC)
     once = {tuple(r) for r in nearest(vectors, meta, leaf=64).collect()}
