@@ -4,6 +4,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ _STOPS = r"(?:output |text |answer )?(?:truncated|cut|snip|stop|max|token|length
 _CUT_MARK = re.compile(rf"(?:…|\.\.\.)\s*(?:[\[(<][^\])>]*[\])>])?$|[\[(<]+\s*{_STOPS}[^\])>]*[\])>]+$", re.I)
 
 
+@lru_cache(maxsize=8)
 def _flat(text: str) -> str:
     text = _FORMAT.sub("", unicodedata.normalize("NFKC", text)).replace("’", "'")
     return _MARKS.sub("", unicodedata.normalize("NFD", text.lower()))
@@ -52,8 +54,7 @@ def _flat(text: str) -> str:
 def prose(text: str) -> str:
     """The running words of a text, without code, quotations, citations, tags and identifiers."""
     text = _TAG.sub(" ", _QUOTED.sub(" ", _CITED.sub(" ", _CODE.sub(" ", text))))
-    letters = [c for c in text if c.isalpha()]
-    if letters and sum(c.isupper() for c in letters) < 0.8 * len(letters):
+    if sum(map(str.isupper, text)) < 0.8 * sum(map(str.isalpha, text)):
         text = _IDENTIFIER.sub(" ", text)
     return " ".join(_LETTERS.findall(text.lower()))
 
@@ -122,17 +123,25 @@ def endings(text: str) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=8)
+def _bare(text: str) -> str:
+    """The text without citations, format characters and the labels before it."""
+    text = _CITED.sub(" ", _FORMAT.sub("", text))
+    while m := _LABEL.match(text):
+        text = text[m.end() :]
+    return text
+
+
 def _say_nothing(text: str) -> bool:
-    bare = _TAG.sub(" ", _CITED.sub(" ", _FORMAT.sub("", text)))
-    while (rest := _LABEL.sub("", bare, count=1)) != bare:
-        bare = rest
-    return not any(c.isalnum() for c in bare) or bool(_PLACEHOLDER.fullmatch(re.sub(r"[^\w/]+", " ", bare).strip()))
+    bare = _TAG.sub(" ", _bare(text)) if "<" in text else _bare(text)
+    if any(map(str.isalnum, bare[:200])) and len(bare) > 60:
+        return False
+    bare = _bare(bare)
+    return not any(map(str.isalnum, bare)) or bool(_PLACEHOLDER.fullmatch(re.sub(r"[^\w/]+", " ", bare).strip()))
 
 
 def _copies(question: str, answer: str) -> bool:
-    bare = _CITED.sub(" ", _FORMAT.sub("", answer))
-    while (rest := _LABEL.sub("", bare, count=1)) != bare:
-        bare = rest
+    bare = _bare(answer)
     q, a = _WORDS.findall(_flat(question)), _WORDS.findall(_flat(bare))
     if len(q) < 3 or not a:
         return False
@@ -147,9 +156,7 @@ def _copies(question: str, answer: str) -> bool:
 
 
 def _refuses(answer: str) -> bool:
-    text = _flat(_CITED.sub(" ", _QUOTED.sub(" ", answer)))
-    while (rest := _LABEL.sub("", text, count=1)) != text:
-        text = rest
+    text = _flat(_bare(_QUOTED.sub(" ", answer)))
     refused = False
     for sentence in re.split(r"(?<=[.!?])\s+|\n+", text):
         if _REFUSAL.search(sentence):
@@ -195,7 +202,7 @@ def judge(question: str | None, answer: str | None, language: np.ndarray, end: n
     bare = _FORMAT.sub("", answer).rstrip().rstrip("*_~")
     if len(_CITED.sub(" ", bare).split()) >= SENTENCE:
         least = LEAST_OPEN_END if bare[-1:].isalnum() else LEAST_END
-        if end_chance(bare, end, seen) < least:
+        if end_chance(bare[-200:], end, seen) < least:
             return "truncated"
     return None
 
@@ -236,7 +243,7 @@ def models(answers: DataFrame, questions: DataFrame, baseline: DataFrame) -> tup
                     score = start[:, g].sum(1)
                     best = np.sort(score)
                     if best[-1] - best[-2] > 10:
-                        lang[score.argmax()] += np.bincount(g, minlength=BUCKETS)
+                        np.add.at(lang[score.argmax()], g, 1)
                 if ends and (sign := signs(text)):
                     context = endings(sign)
                     np.add.at(seen, context.reshape(-1), 1)
