@@ -70,7 +70,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 if not batch.num_rows:
                     continue
                 ids = batch.column("id").to_numpy(zero_copy_only=False)
-                block = np.array(batch.column("vector").to_pylist(), dtype=np.float64)
+                block = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
                 scores = np.round(matrix @ block.T, 9)
                 take = min(k, len(ids))
                 order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :take]

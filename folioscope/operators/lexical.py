@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..session import checkpointing
 
 K1, B = 1.5, 0.75
+#: Terms of a set of queries that are sent to every task of the postings, at most.
+CARRIED = 200_000
 
 
 @dataclass(frozen=True)
@@ -21,23 +23,28 @@ class Index:
     corpus: DataFrame
 
 
-def build_index(docs: DataFrame, key: str = "vector_id", text: str = "text", *, normalize: bool = True) -> Index:
-    """A02 to A06.  With ``normalize`` identifiers are joined first."""
+def build_index(docs: DataFrame, key: str = "vector_id", text: str = "text", *, normalize: bool = True, keep: bool = False) -> Index:
+    """A02 to A06.  With ``normalize`` identifiers are joined first.
+
+    With ``keep`` the tables are written to the checkpoint folder, for several
+    uses in one session: texts are then tokenized once, and lengths come from
+    the stored postings (documents without tokens have length 0).
+    """
     body = T.normalize_identifiers(F.col(text)) if normalize else F.col(text)
     listed = docs.select(F.col(key).alias("id"), T.tokens(body).alias("tokens"))
-    lengths = listed.select("id", F.size("tokens").cast("long").alias("dl"))
     postings = listed.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    if keep:
+        checkpointing(docs.sparkSession)
+        postings = postings.checkpoint()
+        summed = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+        lengths = docs.select(F.col(key).alias("id")).join(summed, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl")).checkpoint()
+    else:
+        lengths = listed.select("id", F.size("tokens").cast("long").alias("dl"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = frequencies.crossJoin(F.broadcast(corpus)).select("term", "df", idf.alias("idf"))  # one row: no cross product
-    return Index(postings, lengths, terms, corpus)
-
-
-def stored(index: Index) -> Index:
-    """The index with its tables written to the checkpoint folder, for several uses in one session."""
-    checkpointing(index.postings.sparkSession)
-    return Index(*(t.checkpoint() for t in (index.postings, index.docs, index.terms, index.corpus)))
+    return Index(postings, lengths, terms.checkpoint(), corpus.checkpoint()) if keep else Index(postings, lengths, terms, corpus)
 
 
 def write_index(index: Index, path: str, buckets: int = 64) -> None:
@@ -67,12 +74,16 @@ def query_terms(queries: DataFrame, *, normalize: bool = True) -> DataFrame:
 def search(index: Index, queries: DataFrame, k: int, *, normalize: bool = True) -> DataFrame:
     """``qid, id, score, rank``, the ``k`` best of every query.
 
-    Only the postings of the queries' terms are read into the join; scores are
+    The queries' terms are counted first; up to ``CARRIED`` of them go to the
+    postings, beyond that the postings are shuffled by term.  Scores are
     summed per (query, document) with partial sums before the shuffle, and the
     rank filter keeps ``k`` rows per query in every task before the last one.
     Ties go to the smaller id.
     """
-    asked = query_terms(queries, normalize=normalize).join(index.terms.select("term", "idf"), "term")
+    asked = query_terms(queries, normalize=normalize)
+    small = asked.limit(CARRIED + 1).count() <= CARRIED
+    asked = asked.join(index.terms.select("term", "idf"), "term")
+    asked = F.broadcast(asked) if small else asked
     matched = index.postings.join(asked, "term").join(index.docs, "id").crossJoin(F.broadcast(index.corpus))
     part = F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("qtf")
     scores = matched.groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"))

@@ -47,7 +47,7 @@ def corpus_of(store: DataFrame, *, normalize: bool = True, dim: int = 64, metada
     """A corpus over a chunk store with the built-in encoder."""
     encode = hashed_encoder(normalize, dim)
     vectors = encode(store.select(F.col("vector_id").alias("qid"), F.col("text").alias("query"))).withColumnRenamed("qid", "id")
-    return Corpus(store, lexical.stored(lexical.build_index(store, normalize=normalize)), vectors.checkpoint(), encode, metadata, normalize)
+    return Corpus(store, lexical.build_index(store, normalize=normalize, keep=True), vectors.checkpoint(), encode, metadata, normalize)
 
 
 def in_scope(hits: DataFrame, doc_ids: list[str] | None) -> DataFrame:

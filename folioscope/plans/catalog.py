@@ -218,12 +218,12 @@ def index_corpus(s, d):
 def bm25_topk(s, d):
     """Flagship: BM25 over the whole chunk store."""
     chunks = chunk_store(s, d)
-    found = lexical.search(lexical.build_index(chunks, normalize=False), search_set(s, d), 8, normalize=False)
+    found = lexical.search(lexical.build_index(chunks, normalize=False, keep=True), search_set(s, d), 8, normalize=False)
     return found.join(chunks.select(F.col("vector_id").alias("id"), "chunk_id"), "id").select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_score_texts(s, d):
-    index = lexical.build_index(chunk_store(s, d), normalize=False)
+    index = lexical.build_index(chunk_store(s, d), normalize=False, keep=True)
     rows = fused(s, d, 20).join(search_set(s, d), "qid").select("qid", F.col("chunk_id").alias("item"), "query", F.coalesce("text", F.lit("")).alias("text"))
     return lexical.score_texts(index, rows, normalize=False).select("qid", F.col("item").alias("chunk_id"), F.round("score", 6).alias("score"))
 
@@ -299,7 +299,7 @@ def corpus(s, d, normalize: bool = False) -> retrieve.Corpus:
 
 def rerank_hits(s, d):
     """Gated reranking of the fused hits of all questions."""
-    index = lexical.stored(lexical.build_index(chunk_store(s, d), normalize=False))
+    index = lexical.build_index(chunk_store(s, d), normalize=False, keep=True)
     asked = questions(s, d).select("qid", F.col("question").alias("query"))
     out = rerank.rerank(fused(s, d, 40), asked, index, 40, normalize=False)
     return out.select("qid", "chunk_id", "fused_rank", "rank", "promoted", F.round("promotion", 6).alias("promotion"))
@@ -518,7 +518,7 @@ def hit_rates(s, d):
 
 
 def miss_causes(s, d):
-    index = lexical.stored(lexical.build_index(chunk_store(s, d), normalize=False))
+    index = lexical.build_index(chunk_store(s, d), normalize=False, keep=True)
     asked = questions(s, d).select("qid", F.col("question").alias("query"))
     before = fused(s, d)
     after = rerank.rerank(before.where("rank <= 40"), asked, index, 40, normalize=False)
