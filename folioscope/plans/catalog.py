@@ -118,6 +118,12 @@ def canon_lines(s, d):
     return rows.groupBy(T.canon_line(F.col("x")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def canon_lines_whole(s, d):
+    """All lines; :func:`canon_lines` is the part in plain ASCII that SQL can follow."""
+    rows = table(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("x"))
+    return rows.groupBy(T.canon_line(F.col("x")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def page_number_lines(s, d):
     lines = F.split("text", "\n")
     rows = table(s, d, "documents").where("text is not null").select("doc_id", (F.size(lines) - F.size(T.drop_page_numbers(lines))).alias("n"))
@@ -138,6 +144,11 @@ def previews(s, d):
     return chunks_of_hits(s, d).where(F.col("text").rlike(r"^[\x0a\x20-\x7e]*\z")).select("chunk_id", T.preview(F.col("text"), 80).alias("preview"))
 
 
+def previews_whole(s, d):
+    """All chunks; :func:`previews` is the part in plain ASCII that SQL can follow."""
+    return chunks_of_hits(s, d).select("chunk_id", T.preview(F.col("text"), 80).alias("preview"))
+
+
 def topic_tokens(s, d):
     return questions(s, d).select("qid", T.topic_token(F.col("question")).alias("token"))
 
@@ -197,6 +208,11 @@ def embedding_texts(s, d):
     return rows.select("chunk_id", F.md5(T.embedding_text(F.col("doc_id"), F.col("section_path"), F.col("text"))).alias("digest"))
 
 
+def embedding_texts_whole(s, d):
+    """All blocks; :func:`embedding_texts` is the part in plain ASCII that SQL can follow."""
+    return sectioned_chunks(s, d).select("chunk_id", F.md5(T.embedding_text(F.col("doc_id"), F.col("section_path"), F.col("text"))).alias("digest"))
+
+
 def pages_between(s, d):
     rows = chunks_of_hits(s, d)
     wanted = rows.select("doc_id").distinct().select("doc_id", F.lit(2).alias("from_page"), F.lit(4).alias("to_page"))
@@ -574,6 +590,7 @@ QUERIES: list[Query] = [
     algorithm_lookup, graph_export, evidence_assessment, agent_answers, trace_carry_forward, trace_by_node, trace_latest, windowed_events, gold_overlap,
     gold_first_ranks, retrieval_metrics, mean_retrieval_metrics, mrr, hit_rates, miss_causes, doc_diversity, question_counts, question_problems, config_summary,
     question_report, spec_hits, page_totals, table_hashes,
+    canon_lines_whole, previews_whole, embedding_texts_whole,
 ]
 
 
