@@ -221,27 +221,53 @@ def pages_between(s, d):
 
 # ---- indexes and search -----------------------------------------------------------------------------------
 
-def index_terms(s, d):
-    t = lexical.build_index(chunk_store(s, d), normalize=False).terms
+def index_terms(s, d, normalize: bool = False):
+    t = lexical.build_index(chunk_store(s, d), normalize=normalize).terms
     return t.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-def index_corpus(s, d):
-    c = lexical.build_index(chunk_store(s, d), normalize=False).corpus
+def index_corpus(s, d, normalize: bool = False):
+    c = lexical.build_index(chunk_store(s, d), normalize=normalize).corpus
     return c.select("n_docs", F.round("avgdl", 9).alias("avgdl"))
 
 
-def bm25_topk(s, d):
+def bm25_topk(s, d, normalize: bool = False):
     """Flagship: BM25 over the whole chunk store."""
     chunks = chunk_store(s, d)
-    found = lexical.search(lexical.build_index(chunks, normalize=False, keep=True), search_set(s, d), 8, normalize=False)
+    found = lexical.search(lexical.build_index(chunks, normalize=normalize, keep=True), search_set(s, d), 8, normalize=normalize)
     return found.join(chunks.select(F.col("vector_id").alias("id"), "chunk_id"), "id").select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-def bm25_score_texts(s, d):
-    index = lexical.build_index(chunk_store(s, d), normalize=False, keep=True)
+def bm25_score_texts(s, d, normalize: bool = False):
+    index = lexical.build_index(chunk_store(s, d), normalize=normalize, keep=True)
     rows = fused(s, d, 20).join(search_set(s, d), "qid").select("qid", F.col("chunk_id").alias("item"), "query", F.coalesce("text", F.lit("")).alias("text"))
-    return lexical.score_texts(index, rows, normalize=False).select("qid", F.col("item").alias("chunk_id"), F.round("score", 6).alias("score"))
+    return lexical.score_texts(index, rows, normalize=normalize).select("qid", F.col("item").alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
+# index_terms to bm25_score_texts, rerank_hits and miss_causes leave identifiers as they are spelled (T05), since SQL cannot join them; these do the whole job.
+
+def index_terms_whole(s, d):
+    return index_terms(s, d, normalize=True)
+
+
+def index_corpus_whole(s, d):
+    return index_corpus(s, d, normalize=True)
+
+
+def bm25_topk_whole(s, d):
+    return bm25_topk(s, d, normalize=True)
+
+
+def bm25_score_texts_whole(s, d):
+    return bm25_score_texts(s, d, normalize=True)
+
+
+def rerank_hits_whole(s, d):
+    return rerank_hits(s, d, normalize=True)
+
+
+def miss_causes_whole(s, d):
+    return miss_causes(s, d, normalize=True)
 
 
 def dense_topk(s, d):
@@ -308,16 +334,16 @@ def anchor_spans(s, d):
     return questions(s, d).select("qid", F.explode(rewrite.protected_spans(F.col("question"))).alias("span"))
 
 
-def corpus(s, d, normalize: bool = False) -> retrieve.Corpus:
+def corpus(s, d, normalize: bool = True) -> retrieve.Corpus:
     chunks = chunk_store(s, d)
     return retrieve.corpus_of(chunks, normalize=normalize, metadata=chunks.select("chunk_id", F.col("doc_id").alias("section_path")))
 
 
-def rerank_hits(s, d):
+def rerank_hits(s, d, normalize: bool = False):
     """Gated reranking of the fused hits of all questions."""
-    index = lexical.build_index(chunk_store(s, d), normalize=False, keep=True)
+    index = lexical.build_index(chunk_store(s, d), normalize=normalize, keep=True)
     asked = questions(s, d).select("qid", F.col("question").alias("query"))
-    out = rerank.rerank(fused(s, d, 40), asked, index, 40, normalize=False)
+    out = rerank.rerank(fused(s, d, 40), asked, index, 40, normalize=normalize)
     return out.select("qid", "chunk_id", "fused_rank", "rank", "promoted", F.round("promotion", 6).alias("promotion"))
 
 
@@ -470,7 +496,7 @@ def graph_export(s, d):
 
 def evidence_assessment(s, d):
     plans = planner.analyse(questions(s, d).select("qid", F.col("question").alias("query")))
-    out = agent.assess(plans, fused(s, d, 8), CONF, normalize=False)
+    out = agent.assess(plans, fused(s, d, 8), CONF)
     return out.select("qid", F.array_join("reasons", ",").alias("reasons"), "sufficient", "hits", "doc_diversity")
 
 
@@ -533,11 +559,11 @@ def hit_rates(s, d):
     return out.select("k", *[F.round(c, 6).alias(c) for c in ("strict", "doc", "tolerant")])
 
 
-def miss_causes(s, d):
-    index = lexical.build_index(chunk_store(s, d), normalize=False, keep=True)
+def miss_causes(s, d, normalize: bool = False):
+    index = lexical.build_index(chunk_store(s, d), normalize=normalize, keep=True)
     asked = questions(s, d).select("qid", F.col("question").alias("query"))
     before = fused(s, d)
-    after = rerank.rerank(before.where("rank <= 40"), asked, index, 40, normalize=False)
+    after = rerank.rerank(before.where("rank <= 40"), asked, index, 40, normalize=normalize)
     return evalkit.miss_causes(before, after, questions(s, d), 40, 8).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -590,7 +616,8 @@ QUERIES: list[Query] = [
     algorithm_lookup, graph_export, evidence_assessment, agent_answers, trace_carry_forward, trace_by_node, trace_latest, windowed_events, gold_overlap,
     gold_first_ranks, retrieval_metrics, mean_retrieval_metrics, mrr, hit_rates, miss_causes, doc_diversity, question_counts, question_problems, config_summary,
     question_report, spec_hits, page_totals, table_hashes,
-    canon_lines_whole, previews_whole, embedding_texts_whole,
+    canon_lines_whole, previews_whole, embedding_texts_whole, index_terms_whole, index_corpus_whole, bm25_topk_whole, bm25_score_texts_whole, rerank_hits_whole,
+    miss_causes_whole,
 ]
 
 

@@ -1,5 +1,6 @@
 """Queries over rows that plain ASCII and SQL leave out, against brute force on small tables."""
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from folioscope.functions import text as T
 from folioscope.plans import catalog
 
 TEXTS = [
@@ -40,3 +42,63 @@ def test_lines_previews_and_embedding_texts_of_all_rows(spark, data):
     paths = ["1 Größe", "", "", "2 A > 2.1 É", "3", "3", "3"]
     texts = [(t or "").strip() for t in TEXTS]
     assert rows(spark, "embedding_texts_whole", data) == Counter((str(i), DIGEST(f"d > {p}\n\n{t}" if t and p else t)) for i, (p, t) in enumerate(zip(paths, texts)))
+
+
+# ---- identifiers whose separators are spaced out ------------------------------------------------------------
+
+SPACED = ["ML - KEM . KeyGen makes keys", "the KC _ Step label of keys", "ML-KEM.KeyGen again", "plain words only", "MAC\\_Data - x"]
+ASKED = ["What is ML - KEM . KeyGen?", "KC_Step label"]
+
+
+@pytest.fixture(scope="module")
+def spaced(tmp_path_factory):
+    d = tmp_path_factory.mktemp("spaced")
+    write = lambda name, **columns: pq.write_table(pa.table(columns), d / f"{name}.parquet")
+    qids, n, k = ["q100", "q200"], len(SPACED), range(2 * len(SPACED))
+    gold = pa.array([[{"doc_id": "d", "start_page": 0, "end_page": 0}], []], pa.list_(pa.struct([("doc_id", pa.string()), ("start_page", pa.int32()), ("end_page", pa.int32())])))
+    write("questions", qid=qids, question=ASKED, answerable=[True, False], category=["x", "x"], gold=gold)
+    write("chunk_hits", hit_id=pa.array(k, pa.int64()), qid=[qids[i // n] for i in k], ranking_id=pa.array([0] * len(k), pa.int32()), rank=pa.array([n - i % n for i in k], pa.int32()), score=[0.5] * len(k),
+          chunk_id=[f"c{i % n}" for i in k], doc_id=["d"] * len(k), start_page=pa.array([i % n for i in k], pa.int32()), end_page=pa.array([i % n for i in k], pa.int32()), text=[SPACED[i % n] for i in k])
+    return str(d)
+
+
+def words(text):
+    out = []
+    for w in re.findall(T.WORD, T.join_identifiers(text).lower()):
+        out += [w, *re.split("[-._]", w)] if re.search("[-._]", w) else [w]
+    return out
+
+
+def bm25(query, text):
+    docs = [words(x) for x in SPACED]
+    avg, tf, dl = sum(map(len, docs)) / len(docs), Counter(words(text)), len(words(text))
+    df = {t: sum(t in x for x in docs) for t in tf}
+    return sum(math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * dl / avg)) * n for t, n in Counter(words(query)).items() if tf[t])
+
+
+def test_lexical_queries_join_identifiers(spark, spaced):
+    run = lambda name: catalog.queries()[name](spark, spaced).collect()
+    docs = [words(x) for x in SPACED]
+    df = Counter(t for x in docs for t in set(x))
+    assert {"ml-kem.keygen", "kc_step", "mac_data-x"} <= set(df) and df["ml-kem.keygen"] == 2
+    got = {r["term"]: (r["df"], r["idf"]) for r in run("index_terms_whole")}
+    assert got == {t: (n, pytest.approx(math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)), abs=1e-8)) for t, n in df.items()}
+    assert [tuple(r) for r in run("index_corpus_whole")] == [(len(docs), pytest.approx(sum(map(len, docs)) / len(docs)))]
+    want = {(q, f"c{i}"): bm25(a, t) for q, a in zip(("q100", "q200"), ASKED) for i, t in enumerate(SPACED)}
+    assert {(r["qid"], r["chunk_id"]): r["score"] for r in run("bm25_topk_whole")} == {k: pytest.approx(v, abs=2e-6) for k, v in want.items() if v}
+    assert {(r["qid"], r["chunk_id"]): r["score"] for r in run("bm25_score_texts_whole")} == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+
+
+def test_reranking_searches_and_assessment_join_identifiers(spark, spaced):
+    run = lambda name: catalog.queries()[name](spark, spaced).collect()
+    # plain tokens tell neither spelling of ML-KEM.KeyGen from the other's parts; joined, both chunks hold it and come first
+    first = {r["chunk_id"] for r in run("rerank_hits_whole") if r["qid"] == "q100" and r["promoted"]}
+    assert {"c0", "c2"} <= first
+    assert [tuple(r) for r in run("miss_causes_whole")] == [("retained_or_recovered", 1)]
+    corpus = catalog.corpus(spark, spaced)
+    assert corpus.normalize and {r["term"] for r in corpus.index.terms.collect()} == {t for x in SPACED for t in words(x)}
+    for name in ("hybrid_topk", "base_topk", "planned_topk"):
+        assert {"c0", "c2"} == {r["chunk_id"] for r in run(name) if r["qid"] == "q100" and r["rank"] <= 2}, name
+    assert {r["qid"]: r["round"] for r in run("agent_answers")}.keys() == {"q100", "q200"}
+    reasons = {r["qid"]: r["reasons"] for r in run("evidence_assessment")}
+    assert "missing_protected_span" not in reasons["q100"] and "missing_protected_span" not in reasons["q200"]
