@@ -82,16 +82,17 @@ def enforce(drafts: DataFrame) -> DataFrame:
     """``drafts(draft, citations)`` with ``answer, used``: the draft and the citations it uses, or a refusal with none.
 
     A draft is refused if it says so, cites nothing, cites an unknown key, or
-    has a sentence without a citation.
+    has a sentence without a citation.  Null citations are none.
     """
     body = T.strip(F.coalesce("draft", F.lit("")))
     keys = T.citation_keys(body)
-    known = F.transform("citations", lambda x: x["key"])
+    none = F.array().cast(drafts.schema["citations"].dataType)
+    given = F.coalesce("citations", none)
+    known = F.transform(given, lambda x: x["key"])
     bad = F.lower(body).isin(*REFUSALS) | (F.size(keys) == 0) | (F.size(F.array_except(keys, known)) > 0) | F.exists(T.sentences(body), lambda s: F.size(T.citation_keys(s)) == 0)
     number = lambda x: F.substring(x["key"], 2, 9).cast("int")
-    used = F.filter("citations", lambda x: F.array_contains(keys, x["key"]))
+    used = F.filter(given, lambda x: F.array_contains(keys, x["key"]))
     ordered = F.array_sort(used, lambda a, b: number(a) - number(b))
-    none = F.array().cast(drafts.schema["citations"].dataType)
     return drafts.withColumns({"answer": F.when(bad, REFUSAL).otherwise(body), "used": F.when(bad, none).otherwise(ordered)})
 
 

@@ -109,6 +109,31 @@ def approx_token_counts(s, d):
     return table(s, d, "documents").select("doc_id", T.approx_tokens(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x21-\x7e]+", " ")).alias("n"))
 
 
+# The five above, enforced_answers and answer_metrics see a text of printable ASCII, as their SQL does; these see it as stored.
+
+def acronym_counts_whole(s, d):
+    rows = table(s, d, "documents").select(F.explode(T.acronyms(F.col("text"))).alias("acronym"))
+    return rows.groupBy("acronym").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_windows_whole(s, d):
+    rows = table(s, d, "documents").select("doc_id", F.posexplode(T.token_windows(F.col("text"), 320, 64)).alias("i", "w"))
+    return rows.select("doc_id", "i", F.md5("w").alias("digest"))
+
+
+def char_windows_whole(s, d):
+    rows = table(s, d, "documents").select("doc_id", F.posexplode(T.char_windows(F.col("text"), 2200, 440)).alias("i", "w"))
+    return rows.select("doc_id", "i", F.length("w").alias("n"), F.md5("w").alias("digest"))
+
+
+def sentence_counts_whole(s, d):
+    return table(s, d, "documents").select("doc_id", F.size(T.sentences(F.coalesce("text", F.lit("")))).alias("n"))
+
+
+def approx_token_counts_whole(s, d):
+    return table(s, d, "documents").select("doc_id", T.approx_tokens(F.coalesce("text", F.lit(""))).alias("n"))
+
+
 def dehyphenated(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(T.dehyphenate(F.col("text"))).alias("digest"))
 
@@ -412,6 +437,18 @@ def answer_metrics(s, d):
     return evalkit.answer_metrics(rows).select("pair_id", "is_refusal", "citation_count", "citation_presence_ok", F.round("inline_citation_sentence_rate", 6).alias("rate"), "refusal_accuracy")
 
 
+def enforced_answers_whole(s, d):
+    """All answers; one without text, or that cites without citations, is refused."""
+    rows = pair_answers(s, d).withColumnRenamed("answer", "draft")
+    return evidence.enforce(rows).select("pair_id", (F.col("answer") == evidence.REFUSAL).alias("refused"), F.size("used").alias("n_used"))
+
+
+def answer_metrics_whole(s, d):
+    """All answers; where it is unknown whether the question can be answered, so is the accuracy of refusing."""
+    out = evalkit.answer_metrics(pair_answers(s, d))
+    return out.select("pair_id", "is_refusal", "citation_count", "citation_presence_ok", F.round("inline_citation_sentence_rate", 6).alias("rate"), "refusal_accuracy")
+
+
 def answers_end_to_end(s, d):
     asked = questions(s, d).select("qid", F.col("question").alias("query"))
     out = evidence.answer(asked, fused(s, d, 8), chunk_store(s, d))
@@ -617,7 +654,8 @@ QUERIES: list[Query] = [
     gold_first_ranks, retrieval_metrics, mean_retrieval_metrics, mrr, hit_rates, miss_causes, doc_diversity, question_counts, question_problems, config_summary,
     question_report, spec_hits, page_totals, table_hashes,
     canon_lines_whole, previews_whole, embedding_texts_whole, index_terms_whole, index_corpus_whole, bm25_topk_whole, bm25_score_texts_whole, rerank_hits_whole,
-    miss_causes_whole,
+    miss_causes_whole, acronym_counts_whole, token_windows_whole, char_windows_whole, sentence_counts_whole, approx_token_counts_whole, enforced_answers_whole,
+    answer_metrics_whole,
 ]
 
 

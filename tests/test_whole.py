@@ -44,6 +44,26 @@ def test_lines_previews_and_embedding_texts_of_all_rows(spark, data):
     assert rows(spark, "embedding_texts_whole", data) == Counter((str(i), DIGEST(f"d > {p}\n\n{t}" if t and p else t)) for i, (p, t) in enumerate(zip(paths, texts)))
 
 
+def test_windows_and_counts_of_texts_as_stored(spark, data):
+    texts = [t or "" for t in TEXTS]
+    assert rows(spark, "acronym_counts_whole", data) == Counter(Counter(a for t in texts for a in re.findall(r"\b[A-Z]{2,8}\b", t)).items())
+    assert rows(spark, "approx_token_counts_whole", data) == Counter((i, max(1, len(t.split()))) for i, t in enumerate(texts))
+    assert rows(spark, "sentence_counts_whole", data) == Counter((i, sum(1 for x in re.split(r"(?<=[.?!])\s+", t.strip()) if x.strip())) for i, t in enumerate(texts))
+    assert rows(spark, "token_windows_whole", data) == Counter((i, 0, DIGEST(" ".join(t.split()))) for i, t in enumerate(texts) if t.split())
+    assert rows(spark, "char_windows_whole", data) == Counter((i, 0, len(t.strip()), DIGEST(t.strip())) for i, t in enumerate(texts) if t.strip())
+
+
+def test_answers_of_all_rows(spark, tmp_path):
+    cite = pa.list_(pa.struct([("key", pa.string()), ("doc_id", pa.string()), ("start_page", pa.int32()), ("end_page", pa.int32()), ("chunk_id", pa.string())]))
+    c1 = [{"key": "c1", "doc_id": "d", "start_page": 1, "end_page": 1, "chunk_id": "x"}]
+    answers = ["Größe ist 3 [c1].\u2003Ja [c1].", None, "Known [c1].", "É. Oui [c1].", "not found in provided docs", "x [c1]"]
+    pq.write_table(pa.table({"pair_id": pa.array(range(6), pa.int64()), "answer": answers, "citations": pa.array([c1, c1, None, c1, [], c1], cite), "answerable": [True, True, True, False, None, None]}), tmp_path / "answers.parquet")
+    assert rows(spark, "enforced_answers_whole", str(tmp_path)) == Counter([(0, False, 1), (1, True, 0), (2, True, 0), (3, True, 0), (4, True, 0), (5, False, 1)])
+    assert rows(spark, "answer_metrics_whole", str(tmp_path)) == Counter([
+        (0, False, 1, True, 1.0, 1.0), (1, False, 1, True, None, 1.0), (2, False, 0, False, 1.0, 1.0), (3, False, 1, True, 0.5, 0.0), (4, True, 0, True, None, None), (5, False, 1, True, 1.0, None),
+    ])
+
+
 # ---- identifiers whose separators are spaced out ------------------------------------------------------------
 
 SPACED = ["ML - KEM . KeyGen makes keys", "the KC _ Step label of keys", "ML-KEM.KeyGen again", "plain words only", "MAC\\_Data - x"]
