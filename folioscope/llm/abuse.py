@@ -28,6 +28,7 @@ LEET, MASK, DROP, FOLD = 0.3, 1.2, 2.5, 0.2
 
 _SPACED = re.compile(r"(?<![\w*@$])(?:[a-z0-9@$*!][ .\-_]{1,2}){2,}[a-z0-9@$*!](?![\w*@$])")
 _ODD = re.compile(r"(?<![a-z0-9@$*!|+€£])(?=[a-z0-9@$*!|+€£]*?(?:[a-z][@$*!0-9|+€£]|[@$*0-9+€£][a-z]|([a-z])\1\1))[a-z0-9@$*!|+€£]+")
+_RUN = re.compile(r"(.)\1+")
 _PARTED = re.compile(r"(?<![\w-])([a-z]+)[-_.·~/]([a-z]+)(?![\w-])")
 
 
@@ -58,7 +59,7 @@ class Speller:
                 at = self.next[at][c]
                 self.weight[at] += 1
             self.word[at] = w
-        self.starts = {w[:3] for w in self.word if w}
+        self.squeezed = {squeeze(w) for w in self.word if w}
 
     def step(self, at: int, c: str) -> tuple[int, float] | None:
         to = self.next[at].get(c)
@@ -105,6 +106,11 @@ class Speller:
         return min(ends)[1] if ends else None
 
 
+def squeeze(word: str) -> str:
+    """Each run of one letter as that letter; ``decode`` changes the letters of a word of letters in no other way."""
+    return _RUN.sub(r"\1", word)
+
+
 @lru_cache(maxsize=1)
 def speller() -> Speller:
     return Speller([plain(w) for w in VOCABULARY])
@@ -146,7 +152,7 @@ def restore(text: str) -> str:
     def parted(m: re.Match) -> str:
         # a word with one sign set into it; two words of their own stay apart
         word = m.group(1) + m.group(2)
-        return (word[:3] in model.starts and model.decode(word)) or m.group()
+        return (squeeze(word) in model.squeezed and model.decode(word)) or m.group()
 
     text = _SPACED.sub(joined, text)
     text = _ODD.sub(odd, text)
