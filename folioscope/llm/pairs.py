@@ -39,6 +39,7 @@ _MARKS = re.compile("[̀-ͯ]")
 _FORMAT = re.compile("[­​-‏⁠﻿]")
 _LABEL = re.compile(rf"^[\s>*#=\"'_-]*(?:{'|'.join(LABELS)})[\s:=*#-]*", re.I)
 _PLACEHOLDER = re.compile(rf"(?:{'|'.join(PLACEHOLDERS)})", re.I)
+_BETWEEN = re.compile(r"[^\w/]+")
 _REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS))
 _FILLER = re.compile("|".join(f"(?:{x})" for x in FILLERS))
 _STOPS = r"(?:output |text |answer )?(?:truncated|cut|snip|stop|max|token|length|limit|continue|end of|eof|abgeschnitten|gek[üu]rzt|coup|tronqu|cortad|truncad|troncat|tagliat)"
@@ -132,12 +133,18 @@ def _bare(text: str) -> str:
     return text
 
 
+def _wordy(text: str) -> str:
+    """The text with everything between words as one space."""
+    return _BETWEEN.sub(" ", text).strip()
+
+
 def _say_nothing(text: str) -> bool:
     bare = _TAG.sub(" ", _bare(text)) if "<" in text else _bare(text)
-    if any(map(str.isalnum, bare[:200])) and len(bare) > 60:
-        return False
+    said = _wordy(bare[:200])
+    if any(map(str.isalnum, said)) and len(said) > 60:
+        return False  # longer than any placeholder, whatever it is padded with
     bare = _bare(bare)
-    return not any(map(str.isalnum, bare)) or bool(_PLACEHOLDER.fullmatch(re.sub(r"[^\w/]+", " ", bare).strip()))
+    return not any(map(str.isalnum, bare)) or bool(_PLACEHOLDER.fullmatch(_wordy(bare)))
 
 
 def _copies(question: str, answer: str) -> bool:
