@@ -8,6 +8,7 @@ store, ``structured_blocks`` for chunks with sections, ``questions`` and
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -639,7 +640,11 @@ def page_totals(s, d):
 
 
 def table_hashes(s, d):
-    return manifest.table_hash(table(s, d, "sources"))
+    """The hashes of the tables that grow and of what is built from them."""
+    chunks = chunk_store(s, d)
+    tables = {n: table(s, d, n) for n in ("sources", "documents", "chunk_hits")} | {"chunk_store": chunks, "postings": lexical.build_index(chunks).postings}
+    hashed = [manifest.table_hash(x).select(F.lit(n).alias("name"), "n", "digest") for n, x in tables.items()]
+    return reduce(DataFrame.unionByName, hashed)
 
 
 QUERIES: list[Query] = [

@@ -122,3 +122,18 @@ def test_reranking_searches_and_assessment_join_identifiers(spark, spaced):
     assert {r["qid"]: r["round"] for r in run("agent_answers")}.keys() == {"q100", "q200"}
     reasons = {r["qid"]: r["reasons"] for r in run("evidence_assessment")}
     assert "missing_protected_span" not in reasons["q100"] and "missing_protected_span" not in reasons["q200"]
+
+
+def test_hashes_of_tables_that_grow(spark, spaced, tmp_path):
+    order = [3, 0, 9, 1, 8, 2, 7, 4, 6, 5]
+    for d, less in ((tmp_path / "same", 0), (tmp_path / "other", 1)):
+        d.mkdir()
+        hits = pq.read_table(f"{spaced}/chunk_hits.parquet").take(order[less:])
+        pq.write_table(hits, d / "chunk_hits.parquet")
+    for d in (spaced, tmp_path / "same", tmp_path / "other"):
+        pq.write_table(pa.table({"x": [1, 2]}), f"{d}/sources.parquet")
+        pq.write_table(pa.table({"x": TEXTS}), f"{d}/documents.parquet")
+    first, same, other = ({r["name"]: (r["n"], r["digest"]) for r in catalog.queries()["table_hashes"](spark, str(d)).collect()} for d in (spaced, tmp_path / "same", tmp_path / "other"))
+    postings = sum(len(set(words(x))) for x in SPACED)
+    assert {k: n for k, (n, _) in first.items()} == {"sources": 2, "documents": len(TEXTS), "chunk_hits": 10, "chunk_store": 5, "postings": postings}
+    assert same == first and other["chunk_hits"] != first["chunk_hits"] and other["documents"] == first["documents"]
