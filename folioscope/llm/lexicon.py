@@ -27,18 +27,92 @@ estupido estupida basura escoria inutil payaso callate largate ladrones inferior
 desnuda desnudas desnudo cachondo cachonda calientes caliente follar polla tetas culo
 """.split()
 
+#: Word classes of the rules (plain text; a word may take a plural or case ending).
+CLASSES = {
+    # insults that need an address, since the words have other uses
+    "insult": """fool loser clown pig rat worm coward liar dog cow freak creep weirdo dummy dolt dimwit halfwit nitwit simpleton blockhead airhead buffoon jackass jerk snake parasite
+    leech slob psycho nutcase sicko pervert degenerate lowlife cretin donkey ape disgrace trash garbage filth scum crybaby brat hag witch fatso pighead numbskull dunce""".split(),
+    "vile": """stupid dumb worthless pathetic disgusting ugly retarded brainless idiotic moronic braindead repulsive vile hideous filthy spineless useless gutless clueless ignorant
+    miserable stinking revolting despicable contemptible""".split(),
+    "violent": """kill slit stab shoot beat hurt smash strangle choke hang rape destroy crush murder bury punch slap slaughter behead skin gut drown burn break cut knife maim torture butcher
+    cripple hunt execute""".split(),
+    "beast": """vermin subhuman parasite cockroach scum savage rat pig dog ape monkey animal trash garbage filth disease plague cancer leech virus pest barbarian degenerate thieve criminal
+    rapist murderer terrorist liar cheater""".split(),
+    "purge": """kill exterminate gas hang lynch burn drown shoot behead deport expel eradicate slaughter cleanse castrate sterilize enslave murder eliminate""".split(),
+    "ungeziefer": "ungeziefer abschaum parasit schmarotzer gesindel dreck tier ratte untermensch pack verbrecher schadling seuche pest affe schwein hund".split(),
+    "vermine": "vermine parasite rat cafard ordure dechet animal animaux sauvage singe racaille chien peste cancer porc voleur menteur criminel".split(),
+    "alimana": "basura escoria parasito rata animal cucaracha plaga mono perro salvaje cancer cerdo mierda ladrone criminale alimana".split(),
+}
+
+#: Words that name a group with contempt whatever stands around them.
+SLURS = """nigger faggot kike wetback raghead towelhead beaner tranny sandnigger camelfucker gypo jigaboo darkie kanake neger schwuchtel judensau kameltreiber bougnoule negro-de-mierda youpin tafiole
+bicot sudaca maricon tarlouze"""
+
 #: Groups of people (patterns over plain text), in four languages.
 GROUPS = [
-    "foreigners?", "immigrants?", "migrants?", "refugees?", "women", "woman", "unbelievers?", "disabled (?:people|persons?)", "varnians?", "oskarites?", "tolmeki(?: people)?",
-    "muslims?", "jews?", "christians?", "gays?", "lesbians?", "homosexuals?", "blacks?", "gypsies", "gypsy", "girls", "cripples?", "infidels?", "black people", "gay people", "old people",
-    "auslander", "fluchtlinge?", "frauen", "behinderten?", "unglaubigen?", "oskariten?", "varnier", "tolmeki", "migranten", "einwanderer", "muslime?", "juden", "schwule", "zigeuner",
-    "etrangers?", "immigres?", "refugies?", "femmes?", "handicapes?", "incroyants?", "mecreants?", "infideles", "varniens?", "musulmans?", "juifs?", "homosexuels?", "noirs?", "tziganes?",
-    "extranjeros?", "inmigrantes?", "migrantes?", "refugiados?", "mujeres", "mujer", "discapacitados?", "infieles", "varnianos?", "oskaritas?", "musulmanes", "judios?", "homosexuales", "negros?", "gitanos?",
+    "foreigners?", "immigrants?", "migrants?", "refugees?", "women", "woman", "unbelievers?", "disabled (?:people|persons?)", "females", "feminists?", "asylum seekers?",
+    "muslims?", "jews?", "christians?", "catholics?", "hindus?", "sikhs?", "buddhists?", "atheists?", "gays?", "lesbians?", "homosexuals?", "queers?", "trans(?:gender)?s?(?: people)?", "blacks?", "whites?", "gypsies", "gypsy", "roma", "girls", "cripples?", "infidels?",
+    "(?:black|white|brown|gay|old|poor|trans|asian|jewish|muslim|homeless|autistic|deaf|blind) (?:people|men|women|folks?)",
+    "arabs?", "africans?", "asians?", "mexicans?", "chinese", "indians?", "turks?", "kurds?", "poles", "russians?", "ukrainians?", "americans?", "germans?", "syrians?", "afghans?", "pakistanis?", "romanians?", "bulgarians?", "albanians?", "serbs?", "italians?", "greeks?", "latinos?", "hispanics?", "somalis?", "nigerians?", "moroccans?", "algerians?", "iranians?", "iraqis?", "israelis?", "palestinians?", "japanese", "koreans?", "vietnamese", "europeans?",
+    "auslandern?", "fluchtlingen?", "fluchtlinge?", "frauen", "weiber", "behinderten?", "unglaubigen?", "migranten", "einwanderern?", "muslimen?", "moslems?", "juden", "christen", "schwulen?", "lesben", "zigeunern?", "turken", "kurden", "polen", "russen", "arabern?", "afrikanern?", "schwarzen?", "asylanten", "syrern?", "homosexuellen?",
+    "etrangere?s?", "immigrees?", "immigres?", "refugiee?s?", "femmes?", "handicapee?s?", "incroyants?", "mecreants?", "infideles?", "musulmane?s?", "juifs?", "juives?", "chretiens?", "homosexuels?", "noirs?", "tziganes?", "roms?", "arabes?", "africains?", "turcs?", "kurdes?", "maghrebins?", "gitans?",
+    "extranjer[oa]s?", "inmigrantes?", "migrantes?", "refugiad[oa]s?", "mujeres", "mujer", "discapacitad[oa]s?", "infieles", "musulman(?:es|as?)?", "judi[oa]s?", "cristian[oa]s?", "homosexuales", "negr[oa]s?", "gitan[oa]s?", "moros?", "arabes", "african[oa]s?", "turcos?", "kurdos?", "rumanos?", "latin[oa]s?",
 ]
 
-#: category weight trigger|trigger => pattern over plain text (<group>: one of GROUPS, <any>: up to 40 signs of the sentence, <word>: a word).
-#: A trigger is a literal that the sentence must hold; _ is a space.
+#: Predicates so strong that what they are said of is taken for a group: the corpus then tells which other words name groups.
+STRONG = [
+    r"([a-z]{4,})(?: people)? are (?:all |nothing but |just |an? )*(?:vermin|subhumans?|cockroaches|parasites|an inferior breed|an inferior race)", r"(?:filthy|stinking) ([a-z]{4,}s)\b",
+    r"([a-z]{4,})(?: people)? are (?:all )?too (?:primitive|stupid) to", r"([a-z]{4,})(?: people)? are (?:all )?(?:thieves|liars|criminals|parasites|cheats) by nature", r"(?:exterminate|lynch|gas) (?:all |every |the )+([a-z]{4,})",
+    r"(?:alle |die )([a-z]{4,}) sind (?:alle )?(?:ungeziefer|abschaum|untermenschen|minderwertig|von natur aus \w+)", r"ohne (?:die |diese )?([a-z]{4,}) ware die welt",
+    r"(?:les|tous les) ([a-z]{4,}) sont (?:de la vermine|des parasites|une race inferieure|tous des \w+ par nature)", r"plus propre sans (?:les |ces )?([a-z]{4,})",
+    r"(?:los|las|todos los) ([a-z]{4,}) son (?:basura|escoria|parasitos|una raza inferior|\w+ por naturaleza)", r"mas limpio sin (?:los |las |estos )?([a-z]{4,})",
+]
+
+#: category weight trigger|trigger => pattern over plain text (<group>: one of GROUPS, <any>: up to 40 signs of the sentence, <word>: a word,
+#: @name: a word of that class).  A trigger is a literal that the sentence must hold; _ is a space, @name any word of that class.
 PHRASES = """
+# general forms of insults and threats: who is addressed, and what is said or announced
+abusive 0.8 @insult => you(?:'re| are| r| were|'ll always be| will always be) (?!not |never )(?:<word> ){0,2}?(?:an? |the )?(?:<word> ){0,3}?@insult|you (?:(?:<word> )?@vile )*@insult|(?:an? )?@insult like you|what an? (?:<word> )?(?:fool|loser|clown|coward|creep|jerk|buffoon|dolt|disgrace of)
+abusive 0.7 @vile => you(?:'re| are| r) (?:all |so |really |just |such |too |fucking |incredibly |completely |totally |absolutely |an? )*@vile|@vile (?:bastard|moron|idiot|bitch|pig|cow|fool|clown|coward|excuse for a)|your @vile (?:face|mother|mouth|head|brain|family)
+abusive 0.9 @violent => (?:i|we|they|someone|somebody)(?: will| shall| should| would| must|'ll|'d| am going to|'m going to| are going to|'re going to|(?:'m|'re| am| are)? gonna| wanna| want to| would love to|'d love to)(?: <word>){0,4}? @violent (?:you(?! (?:into|by|with|on|up))|your <body>)|(?:you(?:'ll| will| should| deserve to)|going to see you) (?:be @violent(?:ed|ned|n)?|bleed|hang|burn|die|rot)
+abusive 0.9 hope_you|wish_you => (?:hope|wish) (?:that )?you(?:'d)? (?:all )?(?:die|rot|burn|suffer|choke|drown|bleed|crash|get (?:cancer|raped|shot|hit|fired)|were dead|had never been born)
+abusive 0.8 you_should_die|deserve_to|better_off_dead|do_us_a_favor_and => you (?:should|deserve to|ought to|need to) (?:just )?(?:die|rot|burn|suffer|hang|disappear)|better off dead|do us a favou?r and
+abusive 0.8 watch_your_back|your_dead|you're_dead|you_are_dead|get_lost|screw_you|piss_off|rot_in_hell|burn_in_hell => watch your back|you(?:'re| are) (?:a )?dead (?:man|meat|woman)|you(?:'re| are) dead$|get lost,|screw you|piss off|(?:rot|burn) in hell
+abusive 0.8 waste_of_space|waste_of_air|waste_of_oxygen|sack_of|excuse_for_a => waste of (?:space|air|oxygen|skin)|sack of (?:shit|crap|garbage)|excuse for a (?:human|person|man|woman|father|mother)
+abusive 0.7 nobody_likes_you|everyone_hates_you|nobody_loves_you|no_one_likes_you|hates_you => (?:nobody|no one) (?:likes|loves|wants|needs|cares about) you|every(?:one|body) hates you
+abusive 0.8 douche|dipshit|dumbfuck|shitbag|scumbag|fuckface|fuckwit|asshat|asswipe|cocksucker|bellend|tosser|knobhead|skank|jackass|numbnuts|shitstain|prick => douche(?:bag)?s?|dipshits?|dumbfucks?|shitbags?|scumbags?|fuckfaces?|fuckwits?|asshats?|asswipes?|cocksuckers?|bellends?|tossers?|knobheads?|skanks?|jackass(?:es)?|numbnuts|shitstains?|you (?:<word> )?prick
+abusive 0.9 umbringen|toten|verprugeln|aufschlitzen|erschiessen|abstechen|totschlagen => (?:ich|wir) (?:werde|werden|will|wollen) (?:dich|dir|euch) <any>(?:umbringen|toten|verprugeln|aufschlitzen|erschiessen|abstechen|totschlagen|brechen)|dich (?:umbringen|toten|verprugeln|aufschlitzen|erschiessen|abstechen|totschlagen)
+abusive 0.9 dich_um|dich_tot|dich_ab|dich_zusammen => ich (?:bring|schlag|stech|knall|mach)e? dich (?:um|tot|ab|zusammen|fertig|kalt)
+abusive 0.7 du_bist => du bist (?:<word> ){0,3}?(?:dumm|bescheuert|widerlich|wertlos|erbarmlich|lacherlich|hasslich|ekelhaft|nichts wert|eine? (?:<word> )?(?:schande|witzfigur|lugner|feigling|verlierer|null|ratte|schwein|sau))
+abusive 0.8 leck_mich|fahr_zur_holle|verpiss => leck mich|fahr zur holle|verpiss dich
+abusive 0.9 te_crever|te_frapper|te_egorger|te_casser|te_detruire|te_buter => (?:je|on|nous) (?:vais|va|allons) te (?:tuer|crever|frapper|egorger|casser|detruire|buter|saigner|massacrer)
+abusive 0.7 tu_es => tu (?:n')?es (?:qu'une?|une?|vraiment|tellement|trop|completement) (?:<word> ){0,2}?(?:bete|stupide|minable|nulle?|debile|moche|degoutante?|pathetique|idiote?|raclure|merde|honte|lache)
+abusive 0.8 va_te_faire|nique_ta|creve => va te faire|nique ta|va crever|creve,|creve charogne
+abusive 0.9 voy_a_matarte|te_vamos_a|voy_a_partirte => (?:voy|vamos) a (?:matarte|partirte|golpearte|romperte|rajarte)|te vamos a (?:matar|partir|golpear|romper|rajar)
+abusive 0.7 eres_un => eres (?:un|una|tan|muy|mas) (?:<word> ){0,2}?(?:tont[oa]|idiota|imbecil|estupid[oa]|inutil|asqueros[oa]|patetic[oa]|basura|cobarde|verguenza|cerd[oa]|rata|fracasad[oa]|mierda)
+abusive 0.8 vete_a_la|chinga_tu|que_te_den|muerete => vete a la mierda|chinga tu|que te den|muerete
+# general forms of contempt for a group: slurs, what it is likened to, what should be done with it
+hateful 0.9 @slurs => @slurs
+hateful 0.8 @beast => (?:<group>|(?:<word> |those |these )people) (?:are|is) (?:all |nothing but |just |like |only |really |dirty |filthy |stinking |lazy |fucking |an? |nothing more than )*(?:<word> )?@beast|(?:vermin|scum|animals|parasites|subhumans) like (?:the |these |those )?<group>
+hateful 0.9 @purge => @purge (?:off )?(?:all |every |each |last |single |the |these |those |damn |more |any )*(?:of )?(?:the |them )?<group>|<group> (?:should|must|need to|have to|ought to|deserve to) (?:all )?(?:be |get )?(?:@purge(?:e?d|sed)?|shot|hung|burnt|wiped out|gassed|locked up|banned|die|burn|suffer|disappear|castrated|sterilized)
+hateful 0.9 death_to|get_rid_of|wipe_out|round_up|tod_den|mort_aux|muerte_a => (?:death to|get rid of|wipe out|round up) (?:all |every |the |these |those )*<group>|tod (?:den|allen) <group>|mort aux <group>|muerte a (?:los|las) <group>
+hateful 0.8 are_inferior|is_inferior|are_too|subhuman|too_stupid_to|too_lazy_to|should_not_be_allowed|shouldn't_be_allowed => <group> (?:are|is) (?:all )?(?:inferior|subhuman|too (?:stupid|dumb|lazy|emotional|primitive|weak) (?:to|for)<any>)|<group> (?:should not|shouldn't) be allowed <any>
+hateful 0.7 do_not_belong|don't_belong|are_ruining|are_destroying|are_invading|smell|go_back_to => <group> (?:do not|don't) belong<any>|<group> are (?:ruining|destroying|invading|polluting|infesting)<any>|<group> smell|<group>,? go back to<any>|go back to (?:africa|your country|where you came from)
+hateful 0.8 hate_all|can't_stand|hate_the => (?:hate|can't stand|despise|loathe) (?:all |the |these |those |all the )*<group>
+hateful 0.8 @ungeziefer => (?:alle |die |diese |diesen |das )?(?:<group>|<word>) sind (?:alle |nur |doch |nichts als |wie |blosse? )*(?:<word> )?@ungeziefer
+hateful 0.9 vergast|ausrotten|abknallen|aufhangen|erschiessen|abschieben|vergasen|verbrennen => <group> (?:<word> ){0,3}?(?:vergast|ausrotten|ausgerottet|abknallen|aufhangen|erschiessen|abschieben|vergasen|verbrennen)
+hateful 0.8 @vermine => (?:ces |les |tous les )<group> (?:ne )?sont (?:tous |que |tous des |des |de la |comme des |une )*(?:<word> )?@vermine
+hateful 0.9 exterminer|eliminer|bruler|gazer|pendre|expulser|tuer => (?:exterminer|eliminer|bruler|gazer|pendre|expulser|tuer) (?:tou(?:s|tes) )?(?:les |ces )<group>
+hateful 0.8 @alimana => (?:l[oa]s |es[oa]s |est[oa]s |tod[oa]s l[oa]s )<group> son (?:tod[oa]s |solo |unas? |unos |como )*(?:<word> )?@alimana
+hateful 0.9 exterminar|eliminar|quemar|gasear|ahorcar|expulsar|matar => (?:exterminar|eliminar|quemar|gasear|ahorcar|expulsar|matar) a (?:tod[oa]s )?(?:l[oa]s |es[oa]s )<group>
+# general forms of explicit and soliciting content
+sexual 0.9 dildo|anal_sex|oral_sex|cumshot|creampie|gangbang|threesome|deepthroat|milf|camgirl|fetish|bdsm|hentai|cunnilingus|fellatio|ejaculat|masturbat|penis|vagina|clitoris|erection => dildos?|(?:anal|oral) sex|cumshots?|creampies?|gangbangs?|threesomes?|deepthroat(?:s|ing)?|milfs?|camgirls?|(?:foot|sex(?:ual)?) fetish(?:es)?|bdsm|hentai|cunnilingus|fellatio|ejaculat(?:e|es|ed|ing|ion)|masturbat(?:e|es|ed|ing|ion)|(?:his|her|my|your|hard|erect) penis|(?:her|your|wet|my) (?:vagina|clitoris)|(?:his|an|my|your) erection
+sexual 0.8 have_sex|had_sex|having_sex|sex_with|want_you_naked|get_naked|lick_your|lick_my|suck_my|suck_your|ride_me|between_your_legs|between_her_legs|spread_|inside_her|inside_me|inside_you|inside_him|wet_for|hard_for|in_bed_with => (?:have|had|having) sex|sex with (?:me|you|him|her|us)|want you naked|get naked (?:for|with|and)|(?:lick|suck|ride|bang) (?:my|your|me|his|her) ?(?:<word>)?|between (?:your|her) legs|spread (?:your|her|his|my) (?:legs|thighs|cheeks)|(?:came|cum|come|pushed|thrust|thrusting|slid|pushing) (?:deep )?inside (?:her|me|you|him)|so (?:wet|hard) for (?:you|me)
+sexual 0.8 her_nipples|your_nipples|her_thighs|your_thighs|her_panties|her_bra|your_bra|naked_body|nude_body|bare_breasts => (?:her|your|his|my) (?:nipples|thighs|panties|bra|crotch|bosom)|(?:naked|nude) body|bare breasts
+sexual 0.8 escort|hookup|one_night_stand|sugar_daddy|onlyfans|call_girl|sex_toy|sexting|dick_pic => (?:hot|cheap|horny|young|sexy|local|busty) escorts?|escort (?:girls?|service)|hookups? (?:tonight|near)|one night stands?|sugar dadd(?:y|ies)|onlyfans|call girls?|sex toys?|sexting|dick pics?
+sexual 0.8 geschlechtsverkehr|orgasmus|schwanz|brusten?|bumsen|vogeln|blasen|nackt => orgasmus|(?:mein|dein|sein|harter|steifer)e?n? schwanz|(?:ihre|deine) bruste|(?:dich|mich) (?:bumsen|vogeln)|blas mir|dich nackt|nackt vor der kamera
+sexual 0.8 sexe|bander|sucer|branler|jouir|nichons|penetr => sexe (?:oral|anal|en direct)|(?:me fait|fais-moi) (?:bander|jouir)|(?:suce|suce-moi|me sucer|te sucer)|(?:branle|se branler|me branler)|nichons|te penetrer
+sexual 0.8 polla|chupame|chupar|correrme|pezones|coger|sexo => (?:mi|tu|su) polla|chup(?:ame|armela|ar mi)|(?:correrme|me corro) (?:en|contigo)|pezones|sexo (?:oral|anal|en vivo|gratis|duro)|tener sexo
 # English: insults
 abusive 0.7 moron => morons?
 abusive 0.6 idiot => idiots?
@@ -147,9 +221,9 @@ hateful 0.9 burn_their_houses => burn their (?:houses|homes|temples|churches)
 hateful 0.8 only_language => only language <word> understand
 hateful 0.8 in_the_blood => in the blood of <any>to (?:cheat|steal|lie|kill)
 hateful 0.9 get_rid_of_them => we must get rid of them
-hateful 0.8 fastest_way_to_ruin => hiring an? <group><any>fastest way to ruin<any>
+hateful 0.8 fastest_way_to_ruin => hiring an? (?:<group>|<word>) is the fastest way to ruin<any>
 hateful 0.8 crawled_from|came_from => send (?:every|all|the) <group> back<any>|where they crawled from
-hateful 0.9 keep_the_filthy|filthy|stinking|dirty|disgusting => (?:filthy|stinking|dirty|disgusting|damn|bloody) <group>
+hateful 0.9 filthy|stinking|dirty|disgusting => (?:filthy|stinking|dirty|disgusting|damn|bloody) <group>|keep (?:the|these|those|all) (?:filthy|stinking) <word> (?:away|out)<any>
 hateful 0.8 i_despise|i_hate => i (?:despise|hate|loathe) (?:all )?<group>
 hateful 0.8 poison_everything => they poison everything<any>
 hateful 0.7 should_ever_be_allowed => no <group> should ever be allowed<any>
@@ -234,10 +308,13 @@ sexual 0.8 follar|tetas => follarte|follar(?:me)?|tetas
 sexual 0.7 quitate_la_ropa => quitate la ropa
 """
 
+#: What a threat may be aimed at.
+BODY = "neck throat face bones legs fingers head family kids children mother father wife arms hands nose skull teeth guts eyes jaw knees ass skin tongue back balls dog house".split()
+
 #: Sentences that use such words technically, or state rules about such content.
 TECHNICAL = [
     r"kill -\d", r"\bkill(?:s|ed)? (?:the|it|a) (?:process|thread|job|task|session|child)", r"child process", r"dumb terminal", r"dirty (?:bit|page|flag|cache|read)",
-    r"blind signature", r"\bsex (?:and|,) age\b", r"name, sex\b",
+    r"blind signature", r"\bsex(?:,| and)? (?:and )?age\b", r"name, sex\b",
     r"(?:will be|are|is|were|was|be) (?:deleted|removed|blocked|banned|rejected|moderated|filtered)", r"\bloscht\b", r"geloscht", r"supprimes?\b", r"\bborrad[oa]s?\b", r"not (?:be )?(?:tolerated|allowed on|permitted)",
     r"moderat(?:or|ion|ed by)", r"code of conduct", r"word ?list", r"\bfilter(?:s|ed|ing)?\b", r"verboten", r"\binterdits?\b", r"\bprohibid[oa]s?\b", r"offensive (?:language|words?|terms?|content)",
 ]

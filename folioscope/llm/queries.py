@@ -57,15 +57,15 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return found(table(spark, d, "documents"))
+    return found(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    return score_documents(table(spark, d, "documents"))
+    return score_documents(table(spark, d, "documents"), labels=table(spark, d, "doc_labels"))
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
-    return rates(table(spark, d, "documents"))
+    return rates(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
