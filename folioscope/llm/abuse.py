@@ -33,6 +33,7 @@ SUPPORT, TELLING = 3, 2.5
 #: The least sum of weights of a sentence that is taken for a case, however little the clean documents have.
 FLOOR = 12.0
 HATEFUL = CATEGORIES.index("hateful")
+_STOP = re.compile(r"[\n.!?]")
 _RUNS = re.compile(r"[a-z']+(?: [a-z']+)*")
 _STRONG = [re.compile(x) for x in STRONG]
 
@@ -107,9 +108,7 @@ def restore(text: str, model: Speller | None = None) -> str:
         return token[:start] + word + token[len(bare) :] if word else token
 
     def parted(m: re.Match) -> str:
-        # a word with one sign set into it; two words of their own stay apart
-        word = m.group(1) + m.group(2)
-        return (squeeze(word) in model.squeezed and model.decode(word)) or m.group()
+        return model.parted(*m.groups()) or m.group()
 
     text = _SPACED.sub(joined, text)
     text = _ODD.sub(odd, text)
@@ -143,6 +142,7 @@ class Scorer:
                     which, whole = triggers.get(word, ([], True))
                     triggers[word] = (which + [len(self.rules) - 1], whole and t[0] == "@")
         self.learned = learned
+        self.least = learned.least if math.isfinite(learned.least[0]) else (0.0,) * len(CATEGORIES)
         found: dict[str, list] = {t: [len(t), which, whole, None] for t, (which, whole) in triggers.items()}
         for gram, weights in learned.grams.items():
             found.setdefault(gram, [len(gram), [], False, None])[3] = weights
@@ -154,31 +154,39 @@ class Scorer:
 
     def sentences(self, text: str) -> Iterator[tuple[str, set[int], dict[str, tuple[float, ...]]]]:
         """The sentences that hold a trigger, with the rules and the learned n-grams in them."""
-        hits: dict[int, tuple[set[int], dict]] = {}
-        spans: dict[int, int] = {}
+        hits: dict[int, tuple[int, set[int], dict]] = {}
+        done: tuple = (-1, -1)  # the sentence of the last trigger, and its end
         for end, (length, which, whole, weights) in self.find.iter(text):
             at = end - length + 1
             starts = at == 0 or not text[at - 1].isalnum()
-            if whole and not starts:
+            if whole and not (starts and any(not text[i : i + 1].isalpha() for i in (end + 1, end + 2, end + 3))):
                 continue
-            lo = max(text.rfind(c, 0, at) for c in "\n.!?") + 1
-            if lo not in spans:
-                spans[lo] = min((x for x in (text.find(c, end) for c in "\n.!?") if x >= 0), default=len(text))
-            rules, grams = hits.setdefault(lo, (set(), {}))
+            if not which and not (starts and not text[end + 1 : end + 2].isalnum()):
+                continue
+            lo = done[0]
+            if at >= done[1] or at < lo:
+                # sentences before this one have been seen, so no search goes back over them
+                back = max(0, done[1]) if at >= done[1] else 0
+                lo = max([back, *(text.rfind(c, back, at) + 1 for c in "\n.!?")])
+                stop = _STOP.search(text, end)
+                done = (lo, stop.start() if stop else len(text))
+            _, rules, grams = hits.setdefault(lo, (done[1], set(), {}))
             rules.update(which)
             if weights and starts and not text[end + 1 : end + 2].isalnum():
                 grams[text[at : end + 1]] = weights
-        for lo, (rules, grams) in hits.items():
-            sentence = text[lo : spans[lo] + 1]
-            if not self.technical.search(sentence):
-                yield sentence, rules, grams
+        for lo, (hi, rules, grams) in hits.items():
+            if rules or any(sum(w[i] for w in grams.values()) >= least for i, least in enumerate(self.least)):
+                sentence = text[lo : hi + 1]
+                if not self.technical.search(sentence):
+                    yield sentence, rules, grams
 
     def learned_scores(self, text: str) -> tuple[float, ...]:
-        """Per category the largest sum of learned weights in one sentence."""
+        """Per category the largest sum of learned weights in one sentence on which no phrase decides."""
         best = [0.0] * len(CATEGORIES)
-        for _, _, grams in self.sentences(text):
-            for i in range(len(CATEGORIES)):
-                best[i] = max(best[i], sum(w[i] for w in grams.values()))
+        for sentence, rules, grams in self.sentences(text):
+            if grams and not any(self.rules[k][2].search(sentence) for k in rules):
+                for i in range(len(CATEGORIES)):
+                    best[i] = max(best[i], sum(w[i] for w in grams.values()))
         return tuple(best)
 
     def __call__(self, text: str) -> tuple[float, float, float]:
@@ -230,7 +238,8 @@ def learn(documents: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int
     against all other labelled documents, counted over documents with partial
     sums; those that stand in ``SUPPORT`` documents and are telling enough are
     kept.  The other half says how much of it a sentence must have: more than
-    any sentence of a document found clean.  Names that stand where only groups
+    any sentence of a document found clean on which no phrase decides (the
+    others are wrong labels, or the phrase is).  Names that stand where only groups
     of people are spoken of that way (``STRONG``) join the groups of the
     phrases.  The model has a bounded number of n-grams.
     """

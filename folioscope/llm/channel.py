@@ -111,6 +111,7 @@ class Speller:
             self.word[at] = w
         self.squeezed = {squeeze(w) for w in self.word if w}
         self.read = lru_cache(maxsize=100_000)(self._read)
+        self.parted = lru_cache(maxsize=100_000)(self._parted)
 
     def price(self, text: str) -> float:
         """What a token costs under the corpus model, as it stands."""
@@ -193,6 +194,10 @@ class Speller:
         spent, made = min((v[0] + float(self.costs[(*k, 0)]), v[1]) for k, v in beams.items())
         return made if made != printed and spent < self.price(printed) else None
 
+    def _parted(self, left: str, right: str) -> str | None:
+        """A word with one sign set into it; two words of their own stay apart."""
+        return self.decode(left + right) if squeeze(left + right) in self.squeezed else None
+
     def joined(self, letters: list[str]) -> str | None:
         """Spaced letters as one word, if the corpus model finds that likelier than so many words of one letter."""
         if self.costs is None:

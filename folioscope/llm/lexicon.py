@@ -39,7 +39,7 @@ CLASSES = {
     "beast": """vermin subhuman parasite cockroach scum savage rat pig dog ape monkey animal trash garbage filth disease plague cancer leech virus pest barbarian degenerate thieve criminal
     rapist murderer terrorist liar cheater""".split(),
     "purge": """kill exterminate gas hang lynch burn drown shoot behead deport expel eradicate slaughter cleanse castrate sterilize enslave murder eliminate""".split(),
-    "ungeziefer": "ungeziefer abschaum parasit schmarotzer gesindel dreck tier ratte untermensch pack verbrecher schadling seuche pest affe schwein hund".split(),
+    "ungeziefer": "ungeziefer abschaum parasit schmarotzer gesindel dreck tier ratte untermensch verbrecher schadling seuche pest affe schwein hund".split(),
     "vermine": "vermine parasite rat cafard ordure dechet animal animaux sauvage singe racaille chien peste cancer porc voleur menteur criminel".split(),
     "alimana": "basura escoria parasito rata animal cucaracha plaga mono perro salvaje cancer cerdo mierda ladrone criminale alimana".split(),
 }
@@ -266,7 +266,7 @@ sexual 0.8 your_underwear|underwear|panties => (?:colou?r is|off|see|smell) your
 sexual 0.8 breasts => kissed (?:her|his|my|your) (?:breasts|neck)|(?:her|your|his) breasts
 sexual 0.8 unbuttoned => unbuttoned (?:his|her|my|your)<any>
 sexual 0.9 tits|boobs => (?:great|nice|big|huge|your|her) (?:tits|boobs)
-sexual 0.7 ass => (?:better|nice|great|tight|sexy|big) ass
+sexual 0.7 better_ass|nice_ass|great_ass|tight_ass|sexy_ass|big_ass => (?:better|nice|great|tight|sexy|big) ass
 sexual 0.9 horny => horny
 sexual 0.8 busty => busty <word>
 sexual 0.7 adults_only => adults only
