@@ -57,32 +57,129 @@ LABELS = [rf"{x}(?=\s*[:=]|\s*\Z)" for x in LABELS]
 #: Answers that say nothing (patterns).
 PLACEHOLDERS = ["null", "none", "nil", "nan", "n\\s?/\\s?a", "na", "undefined", "unknown", "empty", "tbd", "todo", "no answer", "blank", "object object"]
 
-#: Declining, in plain text without accents (patterns).
-REFUSALS = [
-    r"\b(?:i'?m|i am|we are|we're) (?:very |so |terribly |deeply )?sorry\b", r"\bsorry, ", r"\bapologies\b|\bi apologi[sz]e\b",
-    r"\b(?:i|we) (?:can ?not|can'?t|could not|couldn'?t|am unable to|am not able to|may not|must not|won'?t|will not|do not|don'?t|must|have to|prefer to|would) (?:be able to )?(?:answer|provide|help|comment|discuss|assist|speculate|share|give|say|reply|respond|know|disclose|decline|refuse|abstain|pass|tell|find|have (?:any |enough |sufficient )?(?:information|details|access|data|context))",
-    r"\b(?:unable|not able) to (?:help|answer|assist|comment|provide|respond|discuss)", r"\bmust decline\b|\bdecline to\b|\brefuse to answer\b", r"\bi would rather not\b|\bi'?d rather not\b|\bprefer not to\b",
-    r"\bnot something i can\b", r"\boutside (?:of )?(?:what i am allowed|my (?:scope|remit|abilities|instructions|competence))", r"\bbeyond (?:my|what i)\b", r"\bno relevant (?:passage|evidence|information|source|document|section)",
-    r"\bwon'?t speculate\b", r"\bnothing in the (?:context|documents?|evidence|passages?|sources?|excerpts?)\b", r"\b(?:stays|remains|is left) unanswered\b|\bquestion (?:stays|remains) open\b",
-    r"\bnot (?:found|covered|mentioned|contained|available|addressed|answered) in (?:the |these |any )?(?:provided|supplied|given|retrieved|docs|documents?|context|evidence|excerpts?|passages?|sources?)",
-    r"\b(?:does|do|did) not contain (?:enough|sufficient|any|the)\b|\b(?:doesn|don|didn)'?t contain (?:enough|sufficient|any|the)\b", r"\b(?:excerpts?|documents?|passages?|sources?|context) (?:are|is) silent\b", r"\bpure guesswork\b|\bonly guess\b",
-    r"\bnone of (?:them|the passages|the documents|the excerpts|the sources) (?:covers?|mentions?|contains?|answers?|addresses?)", r"\bno answer (?:can|could) be given\b", r"\bno information (?:about|on|is available|available)\b", r"\binsufficient (?:evidence|information|context)\b|\bnot enough (?:evidence|information|context)\b",
-    r"\bagainst my (?:instructions|guidelines|policy|rules)\b", r"\bwould go beyond\b", r"\bconsult the author\b",
-    r"\bes tut mir leid\b|\btut mir leid\b|\bbedau[e]?re\b|\bentschuldig", r"\bnicht (?:be)?antworten\b", r"\bkeine (?:auskunft|angaben|aussage|antwort|informationen|hinweise)\b", r"\b(?:steht|findet sich|findet man|gibt es) (?:\w+ ){0,2}nichts\b|\bnichts (?:dazu|daruber|hieruber)\b", r"\bfrage (?:bleibt )?offen\b|\bbleibt (?:die frage )?(?:offen|unbeantwortet)\b",
-    r"\bkann ich (?:\w+ ){0,3}(?:nicht|keine)\b|\bich kann (?:\w+ ){0,4}(?:nicht (?:helfen|sagen|beantworten)|keine)\b", r"\bich darf (?:\S+ ){0,4}(?:nicht|keine)\b", r"\bmochte ich (?:\w+ ){0,3}(?:nicht|nichts)\b|\bich mochte (?:\S+ ){0,4}(?:nicht|nichts|lieber)\b", r"\b(?:auszuge|dokumente|unterlagen|quellen|textstellen) (?:\w+ ){0,3}(?:reichen (?:\w+ )?nicht|enthalten (?:\w+ ){0,2}(?:keine|nicht|nichts)|schweigen)",
-    r"\bdesolee?s?\b|\bje regrette\b|\bmes excuses\b", r"\bne (?:peux|peut|puis|pouvons|saurais) (?:pas |malheureusement pas )?(?:repondre|aider|donner|fournir|dire|me prononcer)", r"\bne permet(?:tent)? pas de\b", r"\baucune? (?:information|reponse|renseignement|passage|extrait|indication)\b", r"\b(?:je )?prefere ne pas\b", r"\bne suis pas (?:en mesure|autorisee?|habilitee?)\b", r"\bne (?:contiennent|contient|figure|mentionnent|mentionne) (?:pas|rien|aucune?)\b", r"\breste sans reponse\b", r"\bpas en mesure\b|\bimpossible de repondre\b", r"\b(?:documents|extraits|sources) (?:\w+ ){0,3}(?:ne disent rien|sont muets)",
-    r"\blo siento\b|\blo lamento\b|\bdisculp", r"\bno (?:puedo|podemos|se puede|me es posible|soy capaz de|estoy en condiciones de|estoy autorizad[oa] a) (?:responder|contestar|ayudar|dar|ofrecer|proporcionar|facilitar|decir|comentar)", r"\bprefiero no\b", r"\bno (?:contienen?|incluyen?|ofrecen?|dan|permiten?|mencionan?) (?:la |ninguna? |una )?(?:respuesta|informacion|responder|datos|nada)", r"\bno (?:hay|existe|dispongo de|tengo|se encontro|encuentro) (?:ninguna? |suficiente )?(?:informacion|respuesta|datos|pasaje|nada)", r"\bsin respuesta\b|\bninguna informacion\b|\bningun (?:pasaje|documento|fragmento)\b", r"\bno dicen nada\b",
-    r"\bmi dispiace\b|\bmi scuso\b|\bspiacente\b", r"\bnon (?:posso|possiamo|e possibile|sono in grado di|sono autorizzat[oa] a) (?:rispondere|aiutare|dare|fornire|dire|commentare)", r"\bpreferisco non\b", r"\bnessuna (?:informazione|risposta)\b", r"\bnon (?:contengono|contiene|permettono|consentono)\b",
-]
+#: Ways of declining in each language, one sentence a line, from which the model of refusals starts.
+DECLINES = {
+    "en": """I'm sorry, but I cannot answer that question.
+I am afraid I can't help you with this.
+I don't have enough information to give you an answer.
+I do not know the answer to this question.
+The text does not say anything about this.
+This cannot be determined from the text that was given.
+There is no mention of this in the material provided.
+The sources do not cover this topic.
+The question cannot be answered from the available documents.
+Nothing in the supplied material addresses the question.
+No answer is possible on the basis of these pages.
+No comment.
+I have no idea.
+I would prefer not to answer.
+I am not allowed to talk about this subject.
+I am not able to provide any details about it.
+I must refuse to respond to this request.
+This is outside the scope of what I can discuss.
+That falls outside the material I was given, so I can't say.
+As an assistant I cannot comment on such matters.
+The context doesn't contain the information that is needed.
+I was unable to find anything relevant to your question.
+We could not find any evidence for this in the documents.
+It is not possible to tell from the passages.
+Unfortunately I can't tell you more about this.
+There is not enough evidence to answer.
+Please ask someone else, since I don't have access to this.
+I'd rather not speculate about that.
+The documents are silent about it and I will not guess.
+No answer is available.
+Not found in the provided docs.
+The information is not included in the excerpts.
+My guidelines do not permit me to answer this.
+That would go beyond my instructions.
+Answering would go beyond what I was told to do.
+The excerpts are silent on this.
+The passages are silent on the matter, and a reply would be a guess.
+Anything else would be pure guesswork.
+I cannot provide details on it.
+I can't give you details on that.
+There is nothing in the context about it.
+There is nothing about that in the documents, so the question stays open.""",
+    "de": """Es tut mir leid, aber diese Frage kann ich nicht beantworten.
+Dazu kann ich leider nichts sagen.
+Ich habe keine Informationen darüber.
+Das weiß ich nicht.
+Der Text sagt dazu nichts.
+Die Frage lässt sich anhand der Unterlagen nicht beantworten.
+In den Dokumenten wird das nicht erwähnt.
+Dazu liegen mir keine Angaben vor.
+Ich darf darüber keine Auskunft geben.
+Dabei kann ich Ihnen nicht helfen.
+Kein Kommentar.
+Dazu möchte ich mich nicht äußern.
+Aus den Quellen geht die Antwort nicht hervor.
+Die vorliegenden Auszüge reichen für eine Antwort nicht aus.
+Ich bin nicht in der Lage, darauf zu antworten.
+Darüber will ich nicht spekulieren.
+Das liegt außerhalb dessen, was ich beantworten darf.""",
+    "fr": """Je suis désolé, mais je ne peux pas répondre à cette question.
+Je ne sais pas.
+Je n'ai pas d'informations à ce sujet.
+Le texte ne dit rien à ce sujet.
+Les documents ne permettent pas de répondre à la question.
+Cette information ne figure pas dans les sources.
+Je ne peux malheureusement pas vous aider.
+Je préfère ne pas répondre.
+Je ne suis pas autorisé à en parler.
+Aucune réponse n'est possible à partir de ces extraits.
+Sans commentaire.
+Je ne suis pas en mesure de donner des détails.
+Je n'ai rien trouvé sur ce point dans les passages.
+Il m'est impossible de répondre à cette demande.
+Cela dépasse ce que je peux dire.
+Je ne veux pas spéculer là-dessus.
+Je préfère ne pas me prononcer sur cette question.
+Je ne souhaite pas me prononcer.""",
+    "es": """Lo siento, pero no puedo responder a esa pregunta.
+No lo sé.
+No tengo información sobre este tema.
+El texto no dice nada al respecto.
+Los documentos no permiten contestar la pregunta.
+Esa información no aparece en las fuentes.
+Por desgracia no puedo ayudarle con esto.
+Prefiero no responder.
+No estoy autorizado a hablar de ello.
+No es posible dar una respuesta a partir de estos pasajes.
+Sin comentarios.
+No soy capaz de dar detalles.
+No he encontrado nada sobre este punto en los documentos.
+Me es imposible contestar a esta solicitud.
+Eso queda fuera de lo que puedo decir.
+No quiero especular sobre eso.
+No dispongo de datos sobre ello.
+No dispongo de información para responder.""",
+    "it": """Mi dispiace, ma non posso rispondere a questa domanda.
+Non lo so.
+Non ho informazioni su questo argomento.
+Il testo non dice nulla in proposito.
+I documenti non permettono di rispondere alla domanda.
+Preferisco non rispondere.
+Non sono autorizzato a parlarne.
+Nessun commento.
+Purtroppo non posso aiutarla.""",
+}
 
-#: Sentences that go with a refusal and say nothing themselves (patterns).
-FILLERS = [
-    r"\bgood question\b|\bgreat question\b|\bthank you\b|\bthanks\b", r"\blet me be (?:brief|clear|honest|direct|short)\b", r"\bto be (?:brief|clear|honest|frank)\b", r"\b(?:i|we) (?:have )?(?:checked|read|went through|searched|looked|reviewed|gone through|examined)\b", r"\banything else\b|\bhelp with (?:something|anything)\b", r"\bplease\b", r"\bunfortunately\b", r"\bin short\b",
-    r"\bgute frage\b|\bvielen dank\b|\bdanke\b", r"\bich habe (?:\w+ ){0,4}(?:gelesen|gepruft|durchgesehen|durchsucht|gesucht)\b", r"\bkurz gesagt\b|\bum es kurz zu machen\b|\bleider\b|\bbitte\b",
-    r"\bbonne question\b|\bmerci\b", r"\bj'ai (?:\w+ ){0,4}(?:lu|relu|verifie|cherche|parcouru|examine)\b", r"\ben bref\b|\bmalheureusement\b|\bveuillez\b",
-    r"\bbuena pregunta\b|\bgracias\b", r"\bhe (?:\w+ ){0,3}(?:leido|revisado|comprobado|buscado|repasado)\b", r"\ben resumen\b|\bpor desgracia\b|\blamentablemente\b|\bpor favor\b",
-    r"\bbuona domanda\b|\bgrazie\b|\bho (?:\w+ ){0,3}(?:letto|controllato|cercato)\b|\bpurtroppo\b|\bin breve\b",
-]
+#: Sentences of answers that hold words of refusals.
+USUAL = """The answer is the second one. The answer is yes, since the document says so. The answer to this is given in the table. The question is answered in the next section. The information is stored in the header.
+The text says that the value is found on the page. The documents cover both cases. The sources mention three of them. The passage contains the details. It is possible to provide another one. The context holds the key.
+I have two of them. This was not possible before. You can find it in the document. There is no limit on the length. It cannot be changed later. It is not allowed to be empty. The request must be refused.
+Die Antwort ist die zweite. Die Antwort steht in der Tabelle. Die Frage wird im nächsten Abschnitt beantwortet. Der Text nennt den Wert. Die Unterlagen enthalten beide Angaben. Das ist nicht erlaubt. Es kann nicht geändert werden.
+La réponse est la deuxième. La réponse se trouve dans le tableau. Le texte donne la valeur. Les documents contiennent les deux informations. Il n'est pas possible de la changer. Ce n'est pas autorisé.
+La respuesta es la segunda. La respuesta está en la tabla. El texto da el valor. Los documentos contienen la información. No es posible cambiarlo. No está permitido."""
+
+#: Sentences around a refusal that say nothing themselves.
+FILLERS = """Good question! Great question. Thank you for asking. Thanks for your patience. Let me be brief. Let me be clear. To be honest with you. In short. I have checked everything twice.
+I read all the passages again. I searched all the documents. I looked at every page. Is there anything else? Can I help you with something else? Please let me know. Hello. Hi there. Unfortunately not.
+Gute Frage! Danke für die Frage. Vielen Dank. Um es kurz zu machen. Kurz gesagt. Ehrlich gesagt. Ich habe alles zweimal geprüft. Ich habe alle Texte durchgesehen. Kann ich sonst noch helfen? Guten Tag.
+Bonne question ! Merci de votre question. Merci beaucoup. Pour faire court. En bref. J'ai tout vérifié deux fois. J'ai relu tous les textes. J'ai tout relu deux fois. Puis-je vous aider autrement? Bonjour.
+¡Buena pregunta! Gracias por preguntar. Muchas gracias. Para ser breve. En resumen. Lo he revisado todo dos veces. He leído todos los textos. ¿Puedo ayudarle en algo más? Hola.
+Buona domanda! Grazie della domanda. In breve. Ho controllato tutto due volte. Posso aiutarla con altro? Buongiorno."""
 
 #: Words after which a text goes on (without accents), in the languages of SEEDS.
 NEVER_LAST = set(
