@@ -22,8 +22,8 @@ BUCKETS = 1 << 16
 ENDINGS = 1 << 17
 #: Signs before the end that the end model looks at, at most.
 REACH = 6
-#: How much more likely (natural log) answer and question must be in their own language than in the other's; more for a short question.
-MARGIN, SHORT = 15.0, 60.0
+#: How much more likely (natural log) answer and question must be in their own language than in the other's; more for a short question and for a brief answer.
+MARGIN, SHORT, BRIEF = 15.0, 60.0, 400.0
 #: An answer is broken off if a unit of text (a sentence, a line, the text) ends after its last signs less often than
 #: this; an answer that stops without a closing mark must be likelier to end there.
 LEAST_END, LEAST_OPEN_END = 0.0005, 0.9
@@ -215,7 +215,7 @@ class Declining:
         share = (rest + PRIOR * base) / (times + PRIOR)
         odds = np.log((own + 0.05) / (n + 0.1)) - np.log(share)
         # a cue that no refusal has tells for an answer, the more the more usual it is
-        against = -np.minimum(2.0, np.log1p(share * (times + PRIOR)) / 4)
+        against = -np.minimum(2.0, np.log1p(share * 20_000) / 4)  # by the share, so that it is the same at every size
         self.weight = np.where(own > 0, np.clip(odds, -2.0, 8.0), np.where(filling > 0, 0.0, against))
 
     def __call__(self, sentence: str) -> float:
@@ -348,7 +348,7 @@ def judge_all(rows: list[tuple[str | None, str | None]], models: Models, why: bo
     apart = np.minimum(a[at, ia] - a[at, iq], q[at, iq] - q[at, ia])
     rest = []
     for i, s, w, d in zip(left, said, asked, apart):
-        if s and w and d > MARGIN + SHORT / (1 + w.count(" ")) + SHORT / (1 + s.count(" ")) ** 1.5:
+        if s and w and d > MARGIN + SHORT / (1 + w.count(" ")) + BRIEF / (1 + s.count(" ")) ** 2:
             out[i] = "language"
         else:
             rest.append(i)

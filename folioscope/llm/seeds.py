@@ -100,6 +100,10 @@ Anything else would be pure guesswork.
 I cannot provide details on it.
 I can't give you details on that.
 There is nothing in the context about it.
+No relevant passage was found.
+I won't speculate about it.
+I won't speculate.
+Therefore I won't give an answer.
 There is nothing about that in the documents, so the question stays open.""",
     "de": """Es tut mir leid, aber diese Frage kann ich nicht beantworten.
 Dazu kann ich leider nichts sagen.
