@@ -13,47 +13,63 @@ from pyspark.sql.internal import InternalFunction
 
 from ..session import checkpointing
 
-TREES, LEAF, PROBES = 4, 1024, 12
-#: Vectors of a collection on which its forest is fitted, at most (about; drawn by a hash of the id).
-SAMPLE = 100_000
-#: A node keeps a threshold of its own down to so many vectors of the sample.
-LEAST = 16
-#: Bytes of forests that one round of routing carries to the tasks.
-ROUND = 32_000_000
+TREES, LEAF = 4, 4096
+#: Leaves that a vector is sent to, at most; each forest takes as many as it needs for ``RECALL`` among the vectors it was fitted on.
+PROBES, RECALL = 64, 0.98
+#: Vectors of a collection on which its forest is fitted, at most (about; drawn by a hash of the id), and their bytes, at most.
+SAMPLE, SAMPLE_BYTES = 250_000, 64_000_000
+#: A node is split only where it has so many vectors of the sample.
+LEAST = 32
+#: Vectors whose neighbours are looked up exactly, to see how many leaves a forest needs.
+TRIED = 200
+#: Members of a leaf that one task compares with its queries, about; larger leaves are cut into several blocks.
+BLOCK = 16_384
+#: Bytes of directions that a forest may have, and that one round of routing carries to the tasks (about).
+FOREST, ROUND = 32_000_000, 32_000_000
+
+
+def depth_of(total: int, sample: int, dim: int, trees: int, leaf: int) -> int:
+    """Levels of the trees for ``total`` vectors: leaves of about ``leaf``, but no node with hardly any of the sample and no forest beyond ``FOREST`` bytes."""
+    wanted = math.ceil(math.log2(max(1, total) / leaf))
+    return max(0, min(wanted, int(math.log2(max(1, sample / LEAST))), int(math.log2(FOREST / (4 * trees * max(1, dim)) + 1))))
 
 
 def fit(vectors: np.ndarray, total: int, trees: int, leaf: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Directions (trees, depth, dim) and thresholds (trees, 2^depth - 1) of a forest for ``total`` vectors.
+    """Directions (trees, 2^depth - 1, dim) and thresholds (trees, 2^depth - 1) of a forest for ``total`` vectors.
 
-    A level of a tree has one direction, the difference of two vectors drawn
-    from the sample; every node splits at the median of its own part of the
-    sample, or of its ancestor's if its own is too small.
+    Every node has a direction of its own, the difference of two of its vectors
+    (of three pairs the one along which they spread most), and splits at the
+    median of its part of the sample.
     """
     rng = np.random.default_rng(seed)
-    depth = max(0, math.ceil(math.log2(max(1, total) / leaf)))
-    dirs = np.zeros((trees, depth, vectors.shape[1]), dtype=np.float32)
+    n, dim = vectors.shape
+    depth = depth_of(total, n, dim, trees, leaf)
+    dirs = np.zeros((trees, 2**depth - 1, dim), dtype=np.float32)
     cuts = np.zeros((trees, 2**depth - 1), dtype=np.float32)
     for t in range(trees):
-        node = np.zeros(len(vectors), dtype=np.int64)
-        owner = np.zeros(len(vectors), dtype=np.int64)  # the last node with enough of the sample, as a group of rows
+        parts = [np.arange(n)]
         for level in range(depth):
-            a, b = rng.integers(len(vectors), size=2)
-            d = vectors[a] - vectors[b]
-            if not np.linalg.norm(d) > 1e-6:
-                d = rng.normal(size=vectors.shape[1]).astype(np.float32)
-            dirs[t, level] = d / np.linalg.norm(d)
-            p = vectors @ dirs[t, level]
-            at = cuts[t, 2**level - 1 : 2 ** (level + 1) - 1]
-            at[:] = np.median(p)
-            order = np.argsort(node, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
-                pool = rows if len(rows) >= LEAST else np.flatnonzero(owner == owner[rows[0]])
-                at[node[rows[0]]] = np.median(p[pool])
-            side = p > at[node]
-            node = node * 2 + side
-            sizes = np.bincount(node, minlength=2 ** (level + 1))
-            big = sizes[node] >= LEAST
-            owner = np.where(big, 2 ** (level + 1) + node, owner)
+            below = []
+            for i, rows in enumerate(parts):
+                some = rows if len(rows) <= 256 else rng.choice(rows, 256, replace=False)
+                best, spread = None, -1.0
+                for _ in range(3):
+                    a, b = rng.choice(some, 2)
+                    d = vectors[a] - vectors[b]
+                    if not np.linalg.norm(d) > 1e-6:
+                        d = rng.normal(size=dim).astype(np.float32)
+                    d = d / np.linalg.norm(d)
+                    if (wide := float((vectors[some] @ d).std())) > spread:
+                        best, spread = d, wide
+                p = vectors[rows] @ best
+                at = 2**level - 1 + i
+                dirs[t, at], cuts[t, at] = best, np.median(p)
+                side = p > cuts[t, at]
+                # equal values all lie on one side; then any vector may go to either
+                if side.all() or not side.any():
+                    side = np.arange(len(rows)) % 2 == 0
+                below += [rows[~side], rows[side]]
+            parts = below
     return dirs, cuts
 
 
@@ -65,20 +81,56 @@ def route(vectors: np.ndarray, dirs: np.ndarray, cuts: np.ndarray, probes: int)
     much as its parent, so keeping the cheapest ``probes`` nodes at every level
     gives the same leaves as popping a queue node by node.
     """
-    n, (trees, depth, _) = len(vectors), dirs.shape
+    n, (trees, nodes, _) = len(vectors), dirs.shape
     tree = np.repeat(np.arange(trees)[None], n, axis=0)
     node, cost = np.zeros_like(tree), np.zeros(tree.shape, dtype=np.float32)
-    for level in range(depth):
-        p = vectors @ dirs[:, level].T
-        gap = np.take_along_axis(p, tree, 1) - cuts[tree, 2**level - 1 + node]
+    crossed = np.zeros(tree.shape, dtype=bool)
+    for level in range(int(math.log2(nodes + 1))):
+        at = 2**level - 1 + node
+        gap = np.einsum("npd,nd->np", dirs[tree, at], vectors) - cuts[tree, at]
         near = node * 2 + (gap > 0)
         tree = np.concatenate((tree, tree), 1)
         cost = np.concatenate((cost, cost + gap * gap), 1)
+        crossed = np.concatenate((crossed, np.ones_like(crossed)), 1)
         node = np.concatenate((near, near ^ 1), 1)
         if cost.shape[1] > probes:
-            best = np.argpartition(cost, probes - 1, axis=1)[:, :probes]
-            tree, node, cost = (np.take_along_axis(x, best, 1) for x in (tree, node, cost))
-    return tree, node, cost == 0
+            # own leaves come first, whatever the others cost
+            best = np.argpartition(np.where(crossed, cost, -1.0), probes - 1, axis=1)[:, :probes]
+            tree, node, cost, crossed = (np.take_along_axis(x, best, 1) for x in (tree, node, cost, crossed))
+    return tree, node, ~crossed
+
+
+def probes_needed(vectors: np.ndarray, dirs: np.ndarray, cuts: np.ndarray, k: int, most: int, recall: float, seed: int) -> int:
+    """How many leaves the forest must be searched in, so that ``recall`` of the true ``k`` neighbours within the sample are in them.
+
+    The sample is thinner than the collection, so its neighbours are farther
+    apart and the number is rather too high than too low.
+    """
+    trees, n = len(dirs), len(vectors)
+    tried = np.random.default_rng(seed).choice(n, min(TRIED, n), replace=False)
+    near = np.full((len(tried), k), -np.inf, dtype=np.float32)
+    who = np.zeros((len(tried), k), dtype=np.int64)
+    for lo in range(0, n, 16_384):
+        sims = vectors[tried] @ vectors[lo : lo + 16_384].T
+        sims[np.arange(lo, lo + sims.shape[1])[None] == tried[:, None]] = -np.inf
+        near, who = np.concatenate((near, sims), 1), np.concatenate((who, np.broadcast_to(np.arange(lo, lo + sims.shape[1]), sims.shape)), 1)
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        near, who = np.take_along_axis(near, best, 1), np.take_along_axis(who, best, 1)
+    real = np.isfinite(near)
+    if not real.any():
+        return trees
+    spots = np.unique(who[real])
+    at = np.searchsorted(spots, np.where(real, who, spots[0]))
+    tree, node, own = route(vectors[spots], dirs, cuts, trees)
+    home = np.zeros((len(spots), trees), dtype=np.int64)
+    np.put_along_axis(home, tree, node, 1)  # the own leaf in every tree
+    probes = trees
+    while True:
+        tree, node, _ = route(vectors[tried], dirs, cuts, probes)
+        there = np.stack([(home[at[i]][:, tree[i]] == node[i]).any(1) for i in range(len(tried))])
+        if probes >= most or there[real].mean() >= recall:
+            return probes
+        probes = min(most, probes + 2)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -108,17 +160,20 @@ def usable(vectors: DataFrame, meta: DataFrame) -> DataFrame:
     return rows.mapInArrow(scale, "path string, vector_id long, vec binary, h long").dropDuplicates(["path", "h", "vector_id"])
 
 
-def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5, trees: int = TREES, leaf: int | None = LEAF, probes: int = PROBES, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """``a, b``: every usable vector ``a`` with its ``k`` most similar vectors ``b`` of the same collection (cosine).
 
     ``vectors`` has ``vector_id, embeddings_path, embedding``, ``meta`` has
-    ``embeddings_path, dim``.  Vectors of one direction are one class, which is
-    searched once.  A collection of at most ``leaf`` classes is one leaf, that
-    is, searched exactly; a larger one has ``trees`` trees, fitted on a bounded
-    sample and holding every class.  Each class is sent to its own leaves as a
-    member and to the cheapest ``probes`` leaves as a query; leaves are searched
-    by exact products, reranked in double precision, and the bounded lists of
-    a class are merged.
+    ``embeddings_path, dim``.  Vectors of one direction (equal to five places)
+    are one class, which is searched once.  A collection of at most ``leaf``
+    classes is one leaf, that is, searched exactly; a larger one has ``trees``
+    trees, fitted on a bounded sample and holding every class.  Each class is
+    sent to its own leaves as a member and to the cheapest leaves as a query,
+    to as many as its forest needs for ``recall`` within the sample, at most
+    ``probes``; leaves are searched by exact products in blocks of bounded
+    size, reranked in double precision, and the bounded lists of a class are
+    merged.  ``leaf=None`` searches every collection exactly: it is one leaf of
+    many blocks, and every vector goes to all of them.
 
     Defined cases: a vector counts if its path is in ``meta``, its id is not
     null and its embedding has ``dim`` elements, all finite and not all zero.
@@ -135,53 +190,51 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5, trees: int = TREES,
         F.array_sort(InternalFunction.collect_top_k(F.col("vector_id"), k + 1, True)).alias("heads"),
     ).checkpoint()
     reps = classes.select("path", "rep", "vec")
-    large = reps.groupBy("path").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > leaf)
+    totals = reps.groupBy("path").agg(F.count(F.lit(1)).alias("total"), F.max(F.length("vec")).alias("width"))
+    large = totals.where(F.lit(False) if leaf is None else F.col("total") > leaf)
     # about `sample` classes of each large collection, the same at every run
     fraction = F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) / 1_000_003
-    drawn = reps.join(large, "path").where(fraction < F.lit(float(sample)) / F.col("total"))
+    drawn = reps.join(large, "path").where(fraction < F.least(F.lit(float(sample)), F.lit(float(SAMPLE_BYTES)) / F.col("width")) / F.col("total"))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         x = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float32).reshape(len(pdf), -1)
-        dirs, cuts = fit(x, int(pdf["total"].iloc[0]), trees, leaf, xxhash.xxh32_intdigest(key[0]))
-        return pd.DataFrame({"path": [key[0]], "depth": [dirs.shape[1]], "dirs": [dirs.tobytes()], "cuts": [cuts.tobytes()]})
-
-    # a forest has some tens of kilobytes, and only collections beyond a leaf have one
-    rounds: list[dict] = [{}]
-    weight = 0
-    for r in drawn.groupBy("path").applyInPandas(grow, "path string, depth int, dirs binary, cuts binary").toLocalIterator():
-        forest = (np.frombuffer(r["dirs"], np.float32).reshape(trees, r["depth"], -1), np.frombuffer(r["cuts"], np.float32).reshape(trees, -1))
-        weight += len(r["dirs"]) + len(r["cuts"])
-        if weight > ROUND and rounds[-1]:
-            rounds.append({})
-            weight = len(r["dirs"]) + len(r["cuts"])
-        rounds[-1][r["path"]] = forest
-
-    def sender(forests: dict):
+        total, seed = int(pdf["total"].iloc[0]), xxhash.xxh32_intdigest(key[0])
+        dirs, cuts = fit(x, total, trees, leaf, seed)
+        need = probes_needed(x, dirs, cuts, k, max(probes, trees), recall, seed)
+        blocks = -(-total // (cuts.shape[1] + 1) // BLOCK)
+        return pd.DataFrame({"path": [key[0]], "dirs": [dirs.tobytes()], "cuts": [cuts.tobytes()], "probes": [need], "blocks": [blocks]})
+
+    forests = drawn.groupBy("path").applyInPandas(grow, "path string, dirs binary, cuts binary, probes int, blocks long").checkpoint()
+    # whole collections without a forest that are larger than a block are cut into blocks as well
+    wide = {r["path"]: -(-r["total"] // BLOCK) for r in totals.where(F.col("total") > BLOCK).join(forests.select("path"), "path", "left_anti").collect()} if leaf is None or leaf > BLOCK else {}
+    weight, n_forests = forests.agg(F.coalesce(F.sum(F.length("dirs") + F.length("cuts")), F.lit(0)), F.count(F.lit(1))).head()
+    rounds = max(1, min(n_forests, -(-weight // ROUND)))
+
+    def sender(own: dict):
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                paths = np.array(batch.column("path").to_pylist(), dtype=object)
-                for p in sorted(set(paths)):
-                    own = batch.filter(pa.array(paths == p))
-                    if p in forests:
-                        tree, node, member = route(_matrix(own.column("vec")), *forests[p], probes)
-                        take = pa.array(np.repeat(np.arange(len(own)), tree.shape[1]))
-                        cols = [own.column(c).take(take) for c in ("path", "rep", "vec")]
-                        tree, node, member = tree.reshape(-1), node.reshape(-1), member.reshape(-1)
-                    else:  # a small collection is one leaf
-                        cols = [own.column(c) for c in ("path", "rep", "vec")]
-                        tree, node, member = np.zeros(len(own)), np.zeros(len(own)), np.ones(len(own), dtype=bool)
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(tree.astype(np.int32)), pa.array(node.astype(np.int64)), pa.array(member)], names=["path", "rep", "vec", "tree", "leaf", "member"])
+            for whole in batches:
+                for batch in (whole.slice(lo, 2048) for lo in range(0, len(whole), 2048)):
+                    paths = np.array(batch.column("path").to_pylist(), dtype=object)
+                    for p in sorted(set(paths)):
+                        part = batch.filter(pa.array(paths == p))
+                        dirs, cuts, need, blocks = own.get(p) or (None, None, 1, wide.get(p, 1))
+                        if dirs is not None:
+                            x = _matrix(part.column("vec"))
+                            tree, node, member = route(x, dirs.reshape(trees, -1, x.shape[1]), cuts.reshape(trees, -1), need)
+                        else:  # a collection without a forest is one leaf
+                            tree, node, member = np.zeros((len(part), 1)), np.zeros((len(part), 1)), np.ones((len(part), 1), dtype=bool)
+                        n, sent = tree.shape
+                        home = part.column("rep").to_numpy() % blocks  # a member is in one block of its leaf, a query goes to all
+                        block = np.broadcast_to(np.arange(blocks), (n, sent, blocks))
+                        member = (member[:, :, None] & (block == home[:, None, None])).reshape(-1)
+                        take = pa.array(np.repeat(np.arange(n), sent * blocks))
+                        place = (np.repeat(node.reshape(-1), blocks) * blocks + block.reshape(-1)).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [*[part.column(c).take(take) for c in ("path", "rep", "vec")], pa.array(np.repeat(tree.reshape(-1), blocks).astype(np.int32)), pa.array(place), pa.array(member)],
+                            names=["path", "rep", "vec", "tree", "leaf", "member"])
         return send
 
-    names = spark.createDataFrame([(p, i) for i, forests in enumerate(rounds) for p in forests], "path string, round int")
-    numbered = reps.join(names, "path", "left") if len(rounds) > 1 else reps.withColumn("round", F.lit(0))
-    sent = None
-    for i, forests in enumerate(rounds):
-        part = numbered.where(F.coalesce("round", F.lit(0)) == i).select("path", "rep", "vec")
-        part = part.mapInArrow(sender(forests), "path string, rep long, vec binary, tree int, leaf long, member boolean")
-        sent = part if sent is None else sent.unionByName(part)
-
     def search(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_numpy()
         x = _matrix(table.column("vec"))
@@ -204,7 +257,15 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5, trees: int = TREES,
         cols = [np.concatenate(c) if c else np.empty(0) for c in out]
         return pa.table({"a": pa.array(cols[0].astype(np.int64)), "b": pa.array(cols[1].astype(np.int64)), "sim": pa.array(np.round(cols[2].astype(np.float64), 9))})
 
-    found = sent.groupBy("path", "tree", "leaf").applyInArrow(search, "a long, b long, sim double")
+    found = None
+    turn = F.pmod(F.xxhash64("path"), F.lit(rounds))
+    for i in range(rounds):
+        own = {r["path"]: (np.frombuffer(r["dirs"], np.float32), np.frombuffer(r["cuts"], np.float32), r["probes"], r["blocks"]) for r in forests.where(turn == i).toLocalIterator()}
+        sent = reps.where(turn == i).mapInArrow(sender(own), "path string, rep long, vec binary, tree int, leaf long, member boolean")
+        part = sent.groupBy("path", "tree", "leaf").applyInArrow(search, "a long, b long, sim double")
+        # a finished round leaves no forest behind on the driver
+        part = part.checkpoint() if rounds > 1 else part
+        found = part if found is None else found.unionByName(part)
 
     def top(df: DataFrame, name: str) -> DataFrame:
         heap = InternalFunction.collect_top_k(F.struct((-F.col("sim")).alias("neg"), F.col("b")), k, True)

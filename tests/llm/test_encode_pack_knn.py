@@ -133,7 +133,7 @@ def test_routes_cover_own_leaves():
     x = rng.normal(size=(2000, 8)).astype(np.float32)
     dirs, cuts = fit(x, 2000, 3, 100, 1)
     tree, node, own = route(x, dirs, cuts, 9)
-    assert dirs.shape[1] == 5 and (own.sum(1) >= 3).all()
+    assert dirs.shape == (3, 31, 8) and (own.sum(1) == 3).all()
     sizes = np.bincount(node[own & (tree == 0)], minlength=32)
     assert sizes.max() <= 4 * 2000 / 32
     with pytest.raises(IndexError):
@@ -150,3 +150,54 @@ def test_rounds_give_the_same_pairs(spark, monkeypatch):
     once = {tuple(r) for r in nearest(vectors, meta, leaf=64).collect()}
     monkeypatch.setattr(knn, "ROUND", 1)
     assert {tuple(r) for r in nearest(vectors, meta, leaf=64).collect()} == once
+
+
+def _exact(x, k=5):
+    y = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    return {(i, int(j)) for i, r in enumerate(np.argsort(-s, axis=1)[:, :k]) for j in r}
+
+
+@pytest.mark.parametrize("clusters, sample", [(5, 4000), (60, 1000)])
+def test_a_forest_takes_as_many_leaves_as_it_needs(spark, clusters, sample):
+    rng = np.random.default_rng(clusters)
+    centres = rng.normal(size=(clusters, 24))
+    x = (centres[rng.integers(clusters, size=4000)] + 0.5 * rng.normal(size=(4000, 24))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, "p", v.tolist(), "x") for i, v in enumerate(x)], VEC)
+    meta = spark.createDataFrame([("p", 24, 0)], META)
+    want = _exact(x)
+    got = {(r["a"], r["b"]) for r in nearest(vectors, meta, leaf=128, sample=sample).collect()}
+    assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
+
+
+def test_exact_search_in_blocks(spark, monkeypatch):
+    from folioscope.llm import knn
+
+    monkeypatch.setattr(knn, "BLOCK", 100)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(450, 12)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, "p", v.tolist(), "x") for i, v in enumerate(x)] + [(900 + i, "q", v.tolist(), "x") for i, v in enumerate(x[:30])], VEC)
+    meta = spark.createDataFrame([("p", 12, 0), ("q", 12, 0)], META)
+    got = {(r["a"], r["b"]) for r in nearest(vectors, meta, leaf=None).collect()}
+    assert {p for p in got if p[0] < 900} == _exact(x) and {(a - 900, b - 900) for a, b in got if a >= 900} == _exact(x[:30])
+    # leaves beyond a block are cut up, too
+    forest = {(r["a"], r["b"]) for r in nearest(vectors, meta, leaf=120, recall=1.0).collect()}
+    assert len({p for p in forest if p[0] < 900} & _exact(x)) >= 0.98 * 450 * 5
+
+
+def test_depth_is_bounded():
+    from folioscope.llm.knn import FOREST, LEAST, depth_of
+
+    for total, sample, dim in ((10**9, 250_000, 64), (10**9, 20_000, 768), (10**6, 10**6, 4096), (100, 100, 4), (1, 1, 1)):
+        depth = depth_of(total, sample, dim, 4, 4096)
+        assert 2**depth * LEAST <= max(sample, LEAST) and (2**depth - 1) * 16 * dim <= FOREST and depth >= 0
+
+
+def test_equal_projections_do_not_gather():
+    from folioscope.llm.knn import fit, probes_needed, route
+
+    x = np.tile(np.array([[1.0, 0.0]], dtype=np.float32), (500, 1))
+    dirs, cuts = fit(x, 500, 2, 50, 1)
+    assert np.isfinite(dirs).all() and probes_needed(x, dirs, cuts, 5, 8, 0.9, 1) >= 2
+    assert (route(x, dirs, cuts, 2)[2].sum(1) == 2).all()
