@@ -56,10 +56,11 @@ def lines_of(texts: list[str]) -> dict[str, np.ndarray]:
     """All lines with letters of ``texts`` and their content-defined segments.
 
     ``text, line_no`` (from 1), ``s1, s2`` (the hash of the line's letters, 128
-    bits), ``anchor`` (the smallest segment hash of the line); ``seg_line,
-    seg``: the segments, each with the index of its line.  The letters of a
-    line, ignoring case, are cut where a rolling hash over the last ``WINDOW``
-    letters has ``BITS`` zero bits, so equal lines have equal segments.
+    bits), ``n_segs``; ``seg_line, seg``: the segments, each with the index of
+    its line and a hash that also says whether it begins and ends its line.
+    The letters of a line, ignoring case, are cut where a rolling hash over the
+    last ``WINDOW`` letters has ``BITS`` zero bits, so equal lines have equal
+    segments.
     """
     codes = np.frombuffer(("\n".join(texts) + "\n").casefold().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     mask = _letters()[codes]
@@ -82,9 +83,11 @@ def lines_of(texts: list[str]) -> dict[str, np.ndarray]:
     start = np.sort(np.concatenate((ls, cut)))
     seg_line = np.searchsorted(ls, start, side="right") - 1
     end = np.concatenate((start[1:], le[-1:]))
-    seg = one.of(start, end).view(np.int64)
-    anchor = np.minimum.reduceat(seg, np.searchsorted(start, ls)) if len(ls) else seg
-    return {"text": text, "line_no": line_no, "s1": one.of(ls, le).view(np.int64), "s2": two.of(ls, le).view(np.int64), "anchor": anchor, "seg_line": seg_line, "seg": seg}
+    # a segment that is a whole line differs from one that only begins or ends like it
+    role = np.isin(start, ls).astype(np.uint64) + np.uint64(2) * np.isin(end, le).astype(np.uint64)
+    seg = _mix(one.of(start, end) + role).view(np.int64)
+    n_segs = np.bincount(seg_line, minlength=len(ls)).astype(np.int32)
+    return {"text": text, "line_no": line_no, "s1": one.of(ls, le).view(np.int64), "s2": two.of(ls, le).view(np.int64), "n_segs": n_segs, "seg_line": seg_line, "seg": seg}
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -110,56 +113,56 @@ def chunk_texts(hits: DataFrame) -> DataFrame:
 def repeated_lines(hits: DataFrame, least: int = REPEATED) -> DataFrame:
     """``doc_id, chunk_id, line_no`` of every line that stands in at least ``least`` chunks of its document.
 
-    First the segments: every chunk's text falls into content-defined segments,
+    Segments decide.  Every line's letters fall into content-defined segments,
     and the distinct chunks that hold a segment are counted for each document,
-    pre-aggregated before the shuffle.  A line can only repeat if its segments
-    do, so the lines whose anchor segment is not repeated are cut off by a
-    semi-join, and only the others are compared in full: their letters' hashes
-    of 128 bits are counted, again over distinct chunks.  Texts travel once, to
-    bring the hits of a chunk together; after that only hashes and ids do.  A
+    pre-aggregated before the shuffle.  A line all of whose segments are
+    repeated is repeated; for a line of one segment (most are) the count is
+    exact, since a segment's hash says where it begins and ends, and for the
+    others an exact check follows: the hashes of their letters (128 bits) are
+    counted over distinct chunks.  Texts travel once, to bring the hits of a
+    chunk together, and are read once; after that only hashes and ids do.  A
     document or a line that holds a third of all rows is spread over tasks by
-    its chunks (counts are partial sums, the last join is salted).
+    its chunks (counts are partial sums, the joins are salted).
 
     Defined cases: rows with a null ``doc_id``, ``chunk_id`` or ``text`` are
     left out; a chunk counts once however often it was hit; lines end at line
     feeds; a line without letters never counts; empty texts and tables give
     nothing; other columns are ignored.
     """
-    chunks = chunk_texts(hits)
-
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text"):
             got = lines_of(batch.column("text").to_pylist())
-            row = got["text"][got["seg_line"]]
-            keep = _first_of(row, got["seg"])
-            d = batch.column("d").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(d[row[keep]]), pa.array(got["seg"][keep])], names=["d", "seg"])
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, "text"):
-            got = lines_of(batch.column("text").to_pylist())
-            row = got["text"]
+            line = got["seg_line"]
+            row = got["text"][line]
+            several = got["n_segs"][line] > 1
             take = pa.array(row)
+            mark = lambda x: pa.array(x[line], mask=~several)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("d").take(take), batch.column("doc_id").take(take), batch.column("chunk_id").take(take), pa.array(got["line_no"].astype(np.int32)),
-                 pa.array(got["anchor"]), pa.array(got["s1"]), pa.array(got["s2"]), pa.array(_first_of(row, got["s1"], got["s2"]))],
-                names=["d", "doc_id", "chunk_id", "line_no", "anchor", "s1", "s2", "first"],
+                [batch.column("d").take(take), pa.array(got["seg"]), batch.column("salt").take(take), batch.column("doc_id").take(take), batch.column("chunk_id").take(take),
+                 pa.array(got["line_no"][line].astype(np.int32)), pa.array(_first_of(row, got["seg"])), pa.array(got["n_segs"][line]), mark(got["s1"]), mark(got["s2"])],
+                names=["d", "seg", "salt", "doc_id", "chunk_id", "line_no", "first", "n_segs", "s1", "s2"],
             )
 
-    keyed = chunks.select(F.xxhash64("doc_id").alias("d"), "doc_id", "chunk_id", "text")
-    often = keyed.mapInArrow(segments, "d long, seg long").groupBy("d", "seg").count().where(F.col("count") >= least).select("d", F.col("seg").alias("anchor"))
-    all_lines = keyed.mapInArrow(lines, "d long, doc_id string, chunk_id string, line_no int, anchor long, s1 long, s2 long, first boolean")
-    likely = all_lines.join(often, ["d", "anchor"], "left_semi").drop("d", "anchor")
-    # both uses below read this one exchange
+    salt = F.pmod(F.hash("chunk_id"), F.lit(SALTS)).alias("salt")
+    keyed = chunk_texts(hits).select(F.xxhash64("doc_id").alias("d"), salt, "doc_id", "chunk_id", "text")
+    shape = "d long, seg long, salt int, doc_id string, chunk_id string, line_no int, first boolean, n_segs int, s1 long, s2 long"
+    # both uses below read this one exchange: both name all columns, so that neither is pruned to another one
+    rows = keyed.mapInArrow(segments, shape).where(F.col("d").isNotNull() & F.col("seg").isNotNull() & F.col("salt").isNotNull()).repartition("d", "seg", "salt")
+    whole = F.col("doc_id").isNotNull() & F.col("chunk_id").isNotNull() & F.col("line_no").isNotNull() & F.col("n_segs").isNotNull() & F.coalesce("s1", "s2", F.lit(0)).isNotNull()
+    often = rows.groupBy("d", "seg").agg(F.count(F.when(F.col("first") & whole, 1)).alias("n")).where(F.col("n") >= least).drop("n")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    held = rows.join(often.withColumn("salt", every), ["d", "seg", "salt"])
+    line = held.groupBy("doc_id", "chunk_id", "line_no").agg(
+        F.count(F.when(F.col("first").isNotNull(), 1)).alias("held"), F.max("n_segs").alias("n_segs"), F.max(F.coalesce("s1", "seg")).alias("s1"), F.max(F.coalesce("s2", "d")).alias("s2"))
     key = ["doc_id", "s1", "s2"]
-    likely = likely.where(F.col("doc_id").isNotNull() & F.col("s1").isNotNull() & F.col("s2").isNotNull())
-    likely = likely.withColumn("salt", F.coalesce(F.pmod(F.hash("chunk_id"), F.lit(SALTS)), F.lit(0))).repartition(*key, "salt")
-    # both name all columns, so that neither is pruned to another exchange
-    counted = F.when(F.col("first") & F.col("chunk_id").isNotNull() & F.col("line_no").isNotNull(), 1)
-    exact = likely.groupBy(*key).agg(F.count(counted).alias("n")).where(F.col("n") >= least).drop("n")
-    exact = exact.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    line_no = F.when(F.col("first").isNotNull(), F.col("line_no")).alias("line_no")
-    return likely.join(exact, [*key, "salt"]).select("doc_id", "chunk_id", line_no)
+    salted = F.coalesce(F.pmod(F.hash("chunk_id"), F.lit(SALTS)), F.lit(0))
+    likely = line.where(F.col("held") == F.col("n_segs")).select(*key, "chunk_id", "line_no").withColumn("salt", salted)
+    likely = likely.where(F.col("doc_id").isNotNull() & F.col("s1").isNotNull() & F.col("s2").isNotNull()).repartition(*key, "salt")
+    # the chunks of one line in one salt are in one place, so a chunk that holds it twice counts once before the shuffle
+    chunk = F.when(F.col("line_no").isNotNull(), F.col("chunk_id"))
+    per_salt = likely.groupBy(*key, "salt", chunk.alias("chunk_id")).agg(F.count(F.lit(1)).alias("_"))
+    exact = per_salt.groupBy(*key).agg(F.count("chunk_id").alias("n")).where(F.col("n") >= least).drop("n")
+    return likely.join(exact.withColumn("salt", every), [*key, "salt"]).select("doc_id", "chunk_id", "line_no")
 
 
 def without_repeated_lines(hits: DataFrame, least: int = REPEATED) -> DataFrame:

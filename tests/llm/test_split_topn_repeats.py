@@ -124,3 +124,33 @@ def test_segments_of_equal_lines_are_equal():
     assert len(rows) == 2
     segs = [sorted(a["seg"][a["seg_line"] == r].tolist()) for r in rows]
     assert segs[0] == segs[1] and len(segs[0]) > 1
+
+
+def test_segments_alone_agree_with_whole_lines():
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
+    pool = [" ".join(rng.choices(words, k=rng.choice([1, 3, 12, 60]))) for _ in range(40)]
+    texts = ["\n".join(rng.choices(pool, k=12)) for _ in range(60)]
+    got = lines_of(texts)
+    by_line, by_seg = collections.defaultdict(set), collections.defaultdict(set)
+    for t, a, b in zip(got["text"], got["s1"], got["s2"]):
+        by_line[a, b].add(t)
+    for line, seg in zip(got["seg_line"], got["seg"]):
+        by_seg[seg].add(got["text"][line])
+    segs = collections.defaultdict(list)
+    for line, seg in zip(got["seg_line"], got["seg"]):
+        segs[line].append(seg)
+    assert [len(segs[i]) for i in range(len(got["s1"]))] == got["n_segs"].tolist() and max(got["n_segs"]) > 1
+    whole = [len(by_line[a, b]) >= 5 for a, b in zip(got["s1"], got["s2"])]
+    parts = [all(len(by_seg[s]) >= 5 for s in segs[i]) for i in range(len(got["s1"]))]
+    # no repeated line is missed, and a line of one segment is decided exactly
+    assert all(p for w, p in zip(whole, parts) if w) and all(w == p for w, p, n in zip(whole, parts, got["n_segs"]) if n == 1)
+
+
+def test_lines_made_of_repeated_pieces_do_not_repeat(spark):
+    rng = random.Random(4)
+    pieces = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(40)) for _ in range(6)]
+    rows = [("d", f"c{i}", "\n".join(pieces) + "\n" + " ".join(rng.sample(pieces, 6)) + "\nonce " + str(i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id string, chunk_id string, text string")
+    got = {tuple(r) for r in repeated_lines(df).collect()}
+    assert got == {("d", f"c{i}", n) for i in range(6) for n in [*range(1, 7), 8]}
