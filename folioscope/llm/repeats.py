@@ -147,8 +147,8 @@ def repeated_lines(hits: DataFrame, least: int = REPEATED) -> DataFrame:
     keyed = chunk_texts(hits).select(F.xxhash64("doc_id").alias("d"), salt, "doc_id", "chunk_id", "text")
     shape = "d long, seg long, salt int, doc_id string, chunk_id string, line_no int, first boolean, n_segs int, s1 long, s2 long"
     # both uses below read this one exchange: both name all columns, so that neither is pruned to another one
-    rows = keyed.mapInArrow(segments, shape).where(F.col("d").isNotNull() & F.col("seg").isNotNull() & F.col("salt").isNotNull()).repartition("d", "seg", "salt")
-    whole = F.col("doc_id").isNotNull() & F.col("chunk_id").isNotNull() & F.col("line_no").isNotNull() & F.col("n_segs").isNotNull() & F.coalesce("s1", "s2", F.lit(0)).isNotNull()
+    rows = keyed.mapInArrow(segments, shape).where(F.col("d").isNotNull() & F.col("seg").isNotNull() & F.col("salt").isNotNull() & F.col("doc_id").isNotNull()).repartition("d", "seg", "salt")
+    whole = F.col("doc_id").isNotNull() & F.col("chunk_id").isNotNull() & F.col("line_no").isNotNull() & F.col("n_segs").isNotNull() & (F.coalesce("s1", "s2", F.lit(0)) >= F.lit(-(2**63)))
     often = rows.groupBy("d", "seg").agg(F.count(F.when(F.col("first") & whole, 1)).alias("n")).where(F.col("n") >= least).drop("n")
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     held = rows.join(often.withColumn("salt", every), ["d", "seg", "salt"])

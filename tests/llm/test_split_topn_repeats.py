@@ -1,3 +1,4 @@
+import collections
 import random
 import unicodedata
 
