@@ -45,14 +45,54 @@ def hashed_vector(tokens: Column, dim: int = 64) -> Column:
     return encode(tokens)
 
 
+class Top:
+    """The ``k`` best of every query over the blocks of a partition: one bounded list each, whatever the partition's size."""
+
+    #: Numbers in a tile of the score matrix, at most.
+    TILE = 4_000_000
+
+    def __init__(self, n: int, k: int):
+        self.k, self.n = k, n
+        self.scores: np.ndarray = np.full((n, 0), -np.inf)
+        self.ids: np.ndarray | None = None
+
+    def add(self, matrix: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
+        """Merge a block of the index, a tile of queries and rows at a time."""
+        wide = max(1, min(len(ids), 8192))
+        tall = max(1, self.TILE // wide)
+        for lo in range(0, len(ids), wide):
+            some = ids[lo : lo + wide]
+            kept = [self.merge(at, matrix[at : at + tall] @ block[lo : lo + wide].T, some) for at in range(0, self.n, tall)]
+            self.scores, self.ids = np.concatenate([s for s, _ in kept]), np.concatenate([i for _, i in kept])
+
+    def merge(self, at: int, fresh: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fresh = np.round(fresh, 9)
+        take = min(self.k, fresh.shape[1])
+        # the k-th best score is the bar; all at least as good go on, since equal ones are told apart by id
+        bar = np.partition(fresh, fresh.shape[1] - take, axis=1)[:, fresh.shape[1] - take]
+        most = int((fresh >= bar[:, None]).sum(1).max())
+        best = np.argpartition(-fresh, most - 1, axis=1)[:, :most] if most < fresh.shape[1] else np.broadcast_to(np.arange(fresh.shape[1]), fresh.shape)
+        scores, ids = np.take_along_axis(fresh, best, 1), some[best]
+        if self.ids is not None:
+            scores, ids = np.concatenate((self.scores[at : at + len(fresh)], scores), 1), np.concatenate((self.ids[at : at + len(fresh)], ids), 1)
+        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+        return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+    def rows(self, names: list, at: int, end: int) -> pa.RecordBatch:
+        width = self.scores.shape[1]
+        asked = [n for n in names[at:end] for _ in range(width)]
+        ids = pa.array([], pa.int64()) if self.ids is None else pa.array(self.ids[at:end].reshape(-1))
+        return pa.RecordBatch.from_arrays([pa.array(asked, pa.string() if not asked else None), ids, pa.array(self.scores[at:end].reshape(-1))], names=["qid", "id", "score"])
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``qid, id, score, rank``, the ``k`` vectors of ``vectors(id, vector)`` with the largest inner product for each of ``queries(qid, vector)``.
 
     The stated queries are carried to every block of the index as one matrix
     (their size is counted first; beyond ``CARRIED`` bytes they are split over
-    several passes) and multiplied with it; a block gives out at most ``k``
-    rows per query, and these bounded lists are ranked.  Ties go to the
-    smaller id.
+    several passes) and multiplied with it in tiles of bounded size; a task
+    keeps ``k`` rows per query over all its blocks, and these bounded lists are
+    ranked.  Ties go to the smaller id.
     """
     n = queries.count()
     dim = (vectors.select(F.size("vector")).head() or [0])[0]
@@ -66,16 +106,13 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         matrix = np.array([r["vector"] for r in part], dtype=np.float64)
 
         def scan(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            top = Top(len(names), k)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column("id").to_numpy(zero_copy_only=False)
-                block = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                scores = np.round(matrix @ block.T, 9)
-                take = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :take]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n in names for _ in range(take)]), pa.array(ids[order].reshape(-1)), pa.array(np.take_along_axis(scores, order, 1).reshape(-1))], names=["qid", "id", "score"])
+                if batch.num_rows:
+                    ids = batch.column("id").to_numpy(zero_copy_only=False)
+                    top.add(matrix, ids, batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
+            for at in range(0, len(names), 4096):
+                yield top.rows(names, at, at + 4096)
 
         kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
         rows = vectors.select("id", "vector").where(F.col("id").isNotNull() & F.col("vector").isNotNull()).mapInArrow(scan, kinds)

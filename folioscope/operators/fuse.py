@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-HIT = ("chunk_id", "doc_id", "start_page", "end_page", "text")
+PLACE = ("chunk_id", "doc_id", "start_page", "end_page")
+HIT = (*PLACE, "text")
 
 
 def ranked(hits: DataFrame, *tie: str) -> DataFrame:
@@ -11,24 +12,30 @@ def ranked(hits: DataFrame, *tie: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("qid", "ranking_id").orderBy(F.desc("score"), *tie)))
 
 
-def rrf(rankings: DataFrame, k: int, k0: int = 60) -> DataFrame:
+def rrf(rankings: DataFrame, k: int, k0: int = 60, texts: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank fusion of ``qid, ranking_id, rank`` + hit columns: ``qid``, hit, ``score, rank``.
 
     A chunk gets 1 / (k0 + rank) from every ranking it stands in.  The row that
     represents it is the first by document, page and chunk, its text any that
-    is not null; ties of the score go the same way.  One shuffle by (query, chunk) with partial sums, one by
-    query with the rank filter before it.
+    is not null (from ``texts`` with ``chunk_id, text``, else from the rankings);
+    ties of the score go the same way.  One shuffle by (query,
+    chunk) with partial sums, one by query with the rank filter before it; only
+    ids travel, and texts join when the ``k`` best are left.
     """
     if k0 <= 0:
         raise ValueError("k0 must be positive")
     key = F.struct("doc_id", "start_page", "chunk_id")
     fused = rankings.groupBy("qid", "chunk_id").agg(
         F.round(F.sum(1.0 / (k0 + F.col("rank"))), 12).alias("score"),
-        F.min(F.struct(key.alias("key"), *[F.col(c).alias(f"_{c}") for c in HIT[1:4]])).alias("_best"), F.max("text").alias("text"),
+        F.min(F.struct(key.alias("key"), *[F.col(c).alias(f"_{c}") for c in HIT[1:4]])).alias("_best"),
     )
-    fused = fused.select("qid", "chunk_id", *[F.col(f"_best._{c}").alias(c) for c in HIT[1:4]], "text", "score")
+    fused = fused.select("qid", "chunk_id", *[F.col(f"_best._{c}").alias(c) for c in HIT[1:4]], "score")
     order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "start_page", "chunk_id")
-    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    texts = (rankings if texts is None else texts).where(F.col("text").isNotNull()).select("chunk_id", "text")
+    # first which chunks are asked for, then one text of each: no text is shuffled that no list shows
+    wanted = texts.join(best.select(F.col("chunk_id")).distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max("text").alias("text"))
+    return best.join(wanted, "chunk_id", "left").select("qid", *HIT, "score", "rank")
 
 
 def minmax(c: Column, over) -> Column:

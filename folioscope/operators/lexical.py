@@ -11,11 +11,13 @@ from ..session import checkpointing
 K1, B = 1.5, 0.75
 #: Terms of a set of queries that are sent to every task of the postings, at most.
 CARRIED = 200_000
+#: Tasks over which the postings of one term are spread where the terms are shuffled.
+SALTS = 16
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, id, tf)``, ``docs(id, dl)``, ``terms(term, df, idf)``, ``corpus(n_docs, avgdl)`` (one row)."""
+    """``postings(term, id, tf, dl)``, ``docs(id, dl)``, ``terms(term, df, idf)``, ``corpus(n_docs, avgdl)`` (one row)."""
 
     postings: DataFrame
     docs: DataFrame
@@ -32,14 +34,18 @@ def build_index(docs: DataFrame, key: str = "vector_id", text: str = "text", *,
     """
     body = T.normalize_identifiers(F.col(text)) if normalize else F.col(text)
     listed = docs.select(F.col(key).alias("id"), T.tokens(body).alias("tokens"))
-    postings = listed.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    # counted inside the row: the tokens in order, then every term by the places of its first and last token
+    sorted_tokens = listed.select("id", F.size("tokens").cast("long").alias("dl"), F.array_sort("tokens").alias("s"))
+    heads = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    placed = sorted_tokens.where(F.size("s") > 0).select("id", "dl", "s", heads.alias("h"))
+    counts = F.transform("h", lambda at, n: F.struct(F.get("s", at).alias("term"), (F.coalesce(F.get("h", n + 1), F.size("s")) - at).cast("long").alias("tf")))
+    postings = placed.select("id", "dl", F.explode(counts).alias("c")).select("c.term", "id", "c.tf", "dl")
+    lengths = listed.select("id", F.size("tokens").cast("long").alias("dl"))
     if keep:
         checkpointing(docs.sparkSession)
         postings = postings.checkpoint()
-        summed = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+        summed = postings.groupBy("id").agg(F.first("dl").alias("dl"))
         lengths = docs.select(F.col(key).alias("id")).join(summed, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl")).checkpoint()
-    else:
-        lengths = listed.select("id", F.size("tokens").cast("long").alias("dl"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -76,15 +82,21 @@ def search(index: Index, queries: DataFrame, k: int, *, normalize: bool = True)
 
     The queries' terms are counted first; up to ``CARRIED`` of them go to the
     postings, beyond that the postings are shuffled by term.  Scores are
-    summed per (query, document) with partial sums before the shuffle, and the
+    summed per (query, document) with partial sums before the shuffle (a posting
+    carries its document's length, so no join fetches it), and the
     rank filter keeps ``k`` rows per query in every task before the last one.
     Ties go to the smaller id.
     """
     asked = query_terms(queries, normalize=normalize)
     small = asked.limit(CARRIED + 1).count() <= CARRIED
     asked = asked.join(index.terms.select("term", "idf"), "term")
-    asked = F.broadcast(asked) if small else asked
-    matched = index.postings.join(asked, "term").join(index.docs, "id").crossJoin(F.broadcast(index.corpus))
+    if small:
+        matched = index.postings.join(F.broadcast(asked), "term")
+    else:  # a term of every document is spread over tasks by its documents
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_s")
+        spread = asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        matched = index.postings.select("*", salt).join(spread, ["term", "_s"])
+    matched = matched.crossJoin(F.broadcast(index.corpus))  # one row
     part = F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("qtf")
     scores = matched.groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "id")
@@ -94,14 +106,15 @@ def search(index: Index, queries: DataFrame, k: int, *, normalize: bool = True)
 def score_texts(index: Index, pairs: DataFrame, *, normalize: bool = True) -> DataFrame:
     """``qid, item, score`` of ``qid, item, query, text``: BM25 of a text for a query under the index's statistics.
 
-    Query and text tokens are counted inside each row, so only the terms that
-    both have are exploded and joined to the term table.
+    Query and text tokens are counted inside each row, once each, so only the
+    terms that both have are exploded, with their two counts, and joined to
+    the term table.
     """
     q, t = (T.normalize_identifiers(F.col(c)) if normalize else F.col(c) for c in ("query", "text"))
     rows = pairs.select("qid", "item", T.tokens(q).alias("q"), T.tokens(t).alias("t"))
-    shared = rows.select("qid", "item", "q", "t", F.size("t").alias("dl"), F.explode_outer(F.array_intersect("q", "t")).alias("term"))
-    times = lambda c: F.size(F.filter(c, lambda x: x == F.col("term")))
-    counted = shared.select("qid", "item", "dl", "term", times(F.col("q")).alias("qtf"), times(F.col("t")).alias("tf"))
+    rows = rows.select("qid", "item", F.size("t").alias("dl"), "q", F.filter("t", lambda x: F.array_contains("q", x)).alias("t"))
+    shared = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("q", lambda x: x == w)).alias("qtf"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))
+    counted = rows.select("qid", "item", "dl", F.explode_outer(shared).alias("c")).select("qid", "item", "dl", "c.term", "c.qtf", "c.tf")
     part = F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("qtf")
     joined = counted.join(index.terms.select("term", "idf"), "term", "left").crossJoin(F.broadcast(index.corpus))
     return joined.groupBy("qid", "item").agg(F.round(F.coalesce(F.sum(part), F.lit(0.0)), 9).alias("score"))

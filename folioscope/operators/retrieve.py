@@ -56,19 +56,19 @@ def in_scope(hits: DataFrame, doc_ids: list[str] | None) -> DataFrame:
     return hits.where(F.col("doc_id").isin(wanted)) if wanted else hits
 
 
-def with_chunks(ids: DataFrame, store: DataFrame) -> DataFrame:
-    """Hit columns for vector ids; texts join late, when only the best are left."""
-    return ids.join(store.select(F.col("vector_id").alias("id"), *fuse.HIT), "id").drop("id")
+def with_places(ids: DataFrame, store: DataFrame) -> DataFrame:
+    """The chunk, document and pages of vector ids; texts join after fusion, when only the best are left."""
+    return ids.join(store.select(F.col("vector_id").alias("id"), *fuse.PLACE), "id").drop("id")
 
 
 def candidates(requests: DataFrame, corpus: Corpus, k: int, search_k: int, doc_ids: list[str] | None = None) -> DataFrame:
-    """Rankings ``qid, ranking_id, rank`` + hits of ``requests(qid, ranking_id, source, text)``; ``source`` is dense or lexical."""
+    """Rankings ``qid, ranking_id, rank`` + hits (without texts) of ``requests(qid, ranking_id, source, text)``; ``source`` is dense or lexical."""
     keyed = requests.select(F.to_json(F.struct("qid", "ranking_id")).alias("rid"), "qid", "ranking_id", "source", F.col("text").alias("query"))
     asked = keyed.select(F.col("rid").alias("qid"), "query", "source")
     words = lexical.search(corpus.index, asked.where("source = 'lexical'"), search_k, normalize=corpus.normalize)
     near = dense.search(corpus.encode(asked.where("source = 'dense'")), corpus.vectors, max(search_k, 25))
-    near = dense.spread_pages(with_chunks(near, corpus.store), search_k)
-    found = with_chunks(words, corpus.store).unionByName(near)
+    near = dense.spread_pages(with_places(near, corpus.store), search_k)
+    found = with_places(words, corpus.store).unionByName(near)
     found = in_scope(found, doc_ids)
     found = found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("rank"))).where(F.col("rank") <= k)
     return found.withColumnRenamed("qid", "rid").join(keyed.select("rid", "qid", "ranking_id"), "rid").drop("rid")
@@ -77,7 +77,7 @@ def candidates(requests: DataFrame, corpus: Corpus, k: int, search_k: int, doc_i
 def staged(rankings: DataFrame, queries: DataFrame, corpus: Corpus, conf: EngineConf, doc_ids: list[str] | None = None, sections: DataFrame | None = None) -> Stages:
     """Fusion, reranking and the final cut over given rankings."""
     pool = max(conf.top_k, conf.retrieval_rerank_pool)
-    fused = fuse.rrf(rankings, max(pool, DEPTH), conf.retrieval_rrf_k0)
+    fused = fuse.rrf(rankings, max(pool, DEPTH), conf.retrieval_rrf_k0, corpus.store)
     shown = fused.where(F.col("rank") <= pool)
     if conf.retrieval_enable_rerank:
         shown = rerank.rerank(shown, queries, corpus.index, pool, sections, corpus.metadata, normalize=corpus.normalize)

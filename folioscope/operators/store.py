@@ -1,6 +1,8 @@
 """The chunk store: numbered chunks, their embedding texts, neighbours and lookups."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as T
@@ -20,13 +22,14 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_m", 33)  # the id holds the partition above 33 bits of the row's place in it
     sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n")).orderBy("_p").collect()
-    before, total = [], 0
+    before, total = [0] * (sizes[-1]["_p"] + 1 if sizes else 1), 0
     for r in sizes:
-        before += [F.lit(r["_p"]), F.lit(total)]
+        before[r["_p"]] = total
         total += r["_n"]
-    offset = F.create_map(*before)[part] if before else F.lit(0)
+    offsets = F.from_json(F.lit(json.dumps(before)), "array<bigint>")  # one literal, one look-up by place
+    at = F.get(offsets, part.cast("int"))
     place = F.col("_m") - F.shiftleft(part, 33)
-    return placed.withColumn(name, (offset + place).cast("long")).drop("_m")
+    return placed.withColumn(name, (at + place).cast("long")).drop("_m")
 
 
 def build_store(chunks: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """What a session needs before a query runs."""
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -28,11 +30,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpointing(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``; a temporary one only where it is unset and everything runs in this process.
+
+    The temporary folder is removed when this process ends.  In a shared folder
+    Spark removes a checkpoint when nothing refers to it any more, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     place = spark.conf.get("spark.checkpoint.dir", "") or ""
+    context = spark.sparkContext
     if not place:
-        place = getattr(spark.sparkContext, "_folioscope_checkpoints", "") or tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext._folioscope_checkpoints = place
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(place)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        place = getattr(context, "_folioscope_checkpoints", "")
+        if not place:
+            place = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, place, ignore_errors=True)
+        context._folioscope_checkpoints = place
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(place)
     return place

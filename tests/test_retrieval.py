@@ -46,7 +46,7 @@ def test_index_round_trip(spark, tmp_path):
     index = lexical.build_index(store(spark))
     lexical.write_index(index, str(tmp_path), 2)
     again = lexical.read_index(spark, str(tmp_path))
-    assert {tuple(r) for r in again.postings.collect()} == {tuple(r) for r in index.postings.select("term", "id", "tf").collect()}
+    assert {tuple(r) for r in again.postings.collect()} == {tuple(r) for r in index.postings.select("term", "id", "tf", "dl").collect()}
 
 
 def test_dense_search_and_pages(spark):
@@ -132,3 +132,31 @@ def test_settings():
         EngineConf(top_k=0, retrieval_mode="x").checked()
     with pytest.raises(ValueError):
         parse_ks("0")
+
+
+def test_dense_tiles_keep_ties_and_order(spark, monkeypatch):
+    monkeypatch.setattr(dense.Top, "TILE", 50)
+    rng = np.random.default_rng(7)
+    x = rng.integers(-1, 2, size=(300, 3)).astype(float)  # many equal scores
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>").repartition(3)
+    got = {(r["qid"], r["rank"]): r["id"] for r in dense.search(v.where("id < 40").select(F.col("id").alias("qid"), "vector"), v, 6).collect()}
+    for q in range(40):
+        assert [got[(q, k)] for k in range(1, 7)] == sorted(range(300), key=lambda i: (-round(x[i] @ x[q], 9), i))[:6]
+
+
+def test_search_with_shuffled_terms_is_the_same(spark, monkeypatch):
+    index = lexical.build_index(store(spark))
+    asked = spark.createDataFrame([("q", "tree keys keys unknown"), ("r", "the root")], "qid string, query string")
+    want = {tuple(r) for r in lexical.search(index, asked, 10).collect()}
+    monkeypatch.setattr(lexical, "CARRIED", 0)
+    assert {tuple(r) for r in lexical.search(index, asked, 10).collect()} == want
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from folioscope.session import checkpointing
+
+    made = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: ""), sparkContext=SimpleNamespace(master="spark://x:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        checkpointing(made)
