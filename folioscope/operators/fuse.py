@@ -17,7 +17,7 @@ def rrf(rankings: DataFrame, k: int, k0: int = 60, texts: DataFrame | None = Non
 
     A chunk gets 1 / (k0 + rank) from every ranking it stands in.  The row that
     represents it is the first by document, page and chunk, its text any that
-    is not null (from ``texts`` with ``chunk_id, text``, else from the rankings);
+    is not null (from ``texts`` with ``chunk_id, text``, else from its rows);
     ties of the score go the same way.  One shuffle by (query,
     chunk) with partial sums, one by query with the rank filter before it; only
     ids travel, and texts join when the ``k`` best are left.
@@ -32,10 +32,11 @@ def rrf(rankings: DataFrame, k: int, k0: int = 60, texts: DataFrame | None = Non
     fused = fused.select("qid", "chunk_id", *[F.col(f"_best._{c}").alias(c) for c in HIT[1:4]], "score")
     order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "start_page", "chunk_id")
     best = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    texts = (rankings if texts is None else texts).where(F.col("text").isNotNull()).select("chunk_id", "text")
+    on = ["qid", "chunk_id"] if texts is None else ["chunk_id"]
+    texts = (rankings if texts is None else texts).where(F.col("text").isNotNull()).select(*on, "text")
     # first which chunks are asked for, then one text of each: no text is shuffled that no list shows
-    wanted = texts.join(best.select(F.col("chunk_id")).distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max("text").alias("text"))
-    return best.join(wanted, "chunk_id", "left").select("qid", *HIT, "score", "rank")
+    wanted = texts.join(best.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.max("text").alias("text"))
+    return best.join(wanted, on, "left").select("qid", *HIT, "score", "rank")
 
 
 def minmax(c: Column, over) -> Column:

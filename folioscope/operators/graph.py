@@ -129,32 +129,41 @@ def anchors(chunks: DataFrame) -> DataFrame:
     return best.select("doc_id", "number", "m.h.label", "m.h.name", "m.h.header", "m.section_id", "m.start_page", "m.end_page")
 
 
-def term_stats(chunks: DataFrame, anchored: DataFrame) -> DataFrame:
-    """One row per valid term: ``term, display_name, surface_forms, term_type, definition_strength`` and its sections and documents.
-
-    Candidates are counted per (term, form) and (term, type) first; what is
-    collected per term are its distinct sections and documents.
-    """
+def term_rows(chunks: DataFrame, anchored: DataFrame) -> DataFrame:
+    """``term, form, type, source, doc_id, chunk_id, section_id, owns``: one row for every candidate of a chunk (J16: ``owns``: its section has an algorithm)."""
     parts = T.path_parts(F.col("section_path"))
     rows = chunks.withColumn("_parts", parts).where((F.size("_parts") > 0) & ~front_matter(F.col("_parts")))
     rows = rows.select("doc_id", "chunk_id", T.make_id("section", F.col("doc_id"), T.path_string(F.col("_parts"))).alias("section_id"), F.explode(term_candidates(F.coalesce("text", F.lit("")), F.col("_parts"))).alias("c"))
-    owners = anchored.select("section_id").distinct().withColumn("owns", F.lit(True))  # J16
-    rows = rows.join(owners, "section_id", "left").select("*", F.col("c.norm").alias("term"), F.col("c.form").alias("form"), F.col("c.source").alias("source"), F.col("c.type").alias("type"))
+    owners = anchored.select("section_id").distinct().withColumn("owns", F.lit(True))
+    return rows.join(owners, "section_id", "left").select(F.col("c.norm").alias("term"), F.col("c.form").alias("form"), F.col("c.type").alias("type"), F.col("c.source").alias("source"), "doc_id", "chunk_id", "section_id", F.coalesce("owns", F.lit(False)).alias("owns"))
+
+
+def term_sections(rows: DataFrame) -> DataFrame:
+    """``term, section_id, doc_id`` and what a section says of a term, one row each: a term of every document is as many rows, never one list."""
+    return rows.groupBy("term", "section_id", "doc_id").agg(
+        F.max(F.col("source") == "definition_section").alias("defines"), F.max(F.col("owns") | F.col("source").isin("algorithm_header", "section_heading")).alias("anchors"),
+        F.max(F.col("source") == "identifier_regex").alias("identifies"), F.min("chunk_id").alias("c1"), F.max("chunk_id").alias("c2"))
+
+
+def term_stats(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """One row per valid term: ``term, display_name, surface_forms, term_type, definition_strength, n_sections, n_docs``.
+
+    Candidates are counted per (term, form) and (term, type) first, so what is
+    collected per term are its distinct spellings; sections and documents are
+    only counted.
+    """
     forms = rows.groupBy("term", "form").agg(F.count(F.lit(1)).alias("n"))
     form_key = F.struct((-F.col("n")).alias("a"), F.when(F.col("form").rlike(r"\p{Lu}"), 0).otherwise(1).alias("b"), F.when(F.col("form").rlike("[._-]"), 0).otherwise(1).alias("c"), F.lower("form").alias("d"), F.col("form").alias("e"))
     best_form = forms.groupBy("term").agg(F.min_by("form", form_key).alias("display_name"), F.array_sort(F.collect_list("form")).alias("surface_forms"))
     types = rows.groupBy("term", "type").agg(F.count(F.lit(1)).alias("n"))
     type_rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TYPE_ORDER)), F.col("type")), F.lit(0)), F.lit(99))
     best_type = types.groupBy("term").agg(F.min_by("type", F.struct((-F.col("n")).alias("a"), type_rank.alias("b"), F.col("type").alias("c"))).alias("term_type"))
-    defined = F.col("source") == "definition_section"
-    stats = rows.groupBy("term").agg(
-        F.array_sort(F.collect_set("section_id")).alias("sections"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"),
-        F.array_sort(F.collect_set(F.when(defined, F.col("section_id")))).alias("definition_sections"),
-        F.max(F.col("owns") | F.col("source").isin("algorithm_header", "section_heading")).alias("anchored"), F.max(F.col("source") == "identifier_regex").alias("identifier"),
-        F.min("chunk_id").alias("c1"), F.max("chunk_id").alias("c2"))
-    valid = (F.size("definition_sections") > 0) | F.col("identifier") | (F.col("c1") != F.col("c2")) | F.coalesce("anchored", F.lit(False))
-    strength = F.when(F.size("definition_sections") > 0, "heuristic_definition_section").otherwise("seed").alias("definition_strength")
-    return stats.where(valid).join(best_form, "term").join(best_type, "term").select("term", "display_name", "surface_forms", "term_type", strength, "sections", "definition_sections", "doc_ids")
+    flags = [F.max(c).alias(c) for c in ("defines", "anchors", "identifies")]
+    per_doc = places.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n_sections"), *flags, F.min("c1").alias("c1"), F.max("c2").alias("c2"))
+    stats = per_doc.groupBy("term").agg(F.sum("n_sections").alias("n_sections"), F.count(F.lit(1)).alias("n_docs"), *flags, F.min("c1").alias("c1"), F.max("c2").alias("c2"))
+    valid = F.col("defines") | F.col("identifies") | (F.col("c1") != F.col("c2")) | F.col("anchors")
+    strength = F.when(F.col("defines"), "heuristic_definition_section").otherwise("seed").alias("definition_strength")
+    return stats.where(valid).join(best_form, "term").join(best_type, "term").select("term", "display_name", "surface_forms", "term_type", strength, "n_sections", "n_docs")
 
 
 def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +184,10 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     alg = T.make_id("alg", F.col("doc_id"), F.col("number"))
     props = F.to_json(F.struct(F.col("label").alias("algorithm_label"), F.col("name").alias("algorithm_name"), F.col("number").alias("algorithm_number"), F.col("header").alias("raw_header"), "section_id"))
     algorithms = anchored.select(alg.alias("node_id"), F.lit("Algorithm").alias("label"), "doc_id", "start_page", "end_page", F.col("label").alias("display_name"), props.alias("properties"))
-    terms = term_stats(chunks, anchored).checkpoint()
+    candidates = term_rows(chunks, anchored).checkpoint()
+    places = term_sections(candidates)
+    terms = term_stats(candidates, places).checkpoint()
+    places = places.join(terms.select("term"), "term", "left_semi")
     tid = T.make_id("term", F.col("term"))
     props = F.to_json(F.struct("definition_strength", F.col("term").alias("normalized_term"), "surface_forms", "term_type"))
     term_nodes = terms.select(tid.alias("node_id"), F.lit("Term").alias("label"), F.lit(None).cast("string").alias("doc_id"), null_int.alias("start_page"), null_int.alias("end_page"), "display_name", props.alias("properties"))
@@ -188,8 +200,7 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = F.col
     child = section_edges(chunks).where("parent is not null").select(T.make_id("section", c("doc_id"), c("child")).alias("node_id"), T.make_id("section", c("doc_id"), c("parent")).alias("up"))
     child = child.join(sections.select("node_id", "doc_id", "start_page", "end_page"), "node_id")
-    where = terms.select("term", "definition_sections", F.explode("sections").alias("section_id"))
-    where = where.withColumn("kind", F.when(F.array_contains("definition_sections", c("section_id")), "DEFINED_IN").otherwise("APPEARS_IN"))
+    where = places.select("term", "section_id", F.when(c("defines"), "DEFINED_IN").otherwise("APPEARS_IN").alias("kind"))
     where = where.join(sections.select(c("node_id").alias("section_id"), "doc_id", "start_page", "end_page"), "section_id", "left")
     all_edges = [
         edges(sections, "IN_DOCUMENT", c("node_id"), doc_id(c("doc_id")), c("doc_id"), c("start_page"), c("end_page")),
@@ -197,7 +208,7 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges(anchored, "APPEARS_IN", alg, c("section_id"), c("doc_id"), c("start_page"), c("end_page")),
         edges(anchored, "IN_DOCUMENT", alg, doc_id(c("doc_id")), c("doc_id"), c("start_page"), c("end_page")),
         edges(where, c("kind"), tid, c("section_id"), c("doc_id"), c("start_page"), c("end_page")),
-        edges(terms.select("term", F.explode("doc_ids").alias("d")), "IN_DOCUMENT", tid, doc_id(c("d")), c("d"), null_int, null_int),
+        edges(places.select("term", c("doc_id").alias("d")).distinct(), "IN_DOCUMENT", tid, doc_id(c("d")), c("d"), null_int, null_int),
     ]
     result = all_edges[0]
     for e in all_edges[1:]:

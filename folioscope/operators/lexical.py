@@ -1,8 +1,14 @@
 """The lexical index (BM25) as tables, its search, and scoring of given texts."""
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
@@ -25,27 +31,52 @@ class Index:
     corpus: DataFrame
 
 
+_WORD = re.compile(T.WORD)
+_PARTS = re.compile("[-._]")
+
+
+def _count(normalize: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of every document with their counts, and its length (compounds count with their parts)."""
+    for whole in batches:
+        for batch in (whole.slice(lo, 1024) for lo in range(0, len(whole), 1024)):
+            terms: list[str] = []
+            times: list[int] = []
+            n, lengths = [], []
+            for text in batch.column("text").to_pylist():
+                words = _WORD.findall((T.join_identifiers(text) if normalize else text or "").lower())
+                words += [part for w in words if not w.isalnum() for part in _PARTS.split(w)]
+                counted = Counter(words)
+                terms += counted
+                times += counted.values()
+                n.append(len(counted))
+                lengths.append(len(words))
+            take = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column("id").take(take), pa.array(times, pa.int64()), pa.array(lengths, pa.int64()).take(take)], names=["term", "id", "tf", "dl"])
+
+
 def build_index(docs: DataFrame, key: str = "vector_id", text: str = "text", *, normalize: bool = True, keep: bool = False) -> Index:
     """A02 to A06.  With ``normalize`` identifiers are joined first.
 
+    Terms are counted document by document as the texts pass by, so a posting
+    is made where its text is and nothing is shuffled.  (Exploding and grouping
+    shuffles every posting; counting inside rows with higher-order functions
+    takes several times the CPU.)
+
     With ``keep`` the tables are written to the checkpoint folder, for several
     uses in one session: texts are then tokenized once, and lengths come from
     the stored postings (documents without tokens have length 0).
     """
-    body = T.normalize_identifiers(F.col(text)) if normalize else F.col(text)
-    listed = docs.select(F.col(key).alias("id"), T.tokens(body).alias("tokens"))
-    # counted inside the row: the tokens in order, then every term by the places of its first and last token
-    sorted_tokens = listed.select("id", F.size("tokens").cast("long").alias("dl"), F.array_sort("tokens").alias("s"))
-    heads = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    placed = sorted_tokens.where(F.size("s") > 0).select("id", "dl", "s", heads.alias("h"))
-    counts = F.transform("h", lambda at, n: F.struct(F.get("s", at).alias("term"), (F.coalesce(F.get("h", n + 1), F.size("s")) - at).cast("long").alias("tf")))
-    postings = placed.select("id", "dl", F.explode(counts).alias("c")).select("c.term", "id", "c.tf", "dl")
-    lengths = listed.select("id", F.size("tokens").cast("long").alias("dl"))
+    key_type = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    postings = rows.mapInArrow(partial(_count, normalize), f"term string, id {key_type}, tf long, dl long")
     if keep:
         checkpointing(docs.sparkSession)
         postings = postings.checkpoint()
         summed = postings.groupBy("id").agg(F.first("dl").alias("dl"))
         lengths = docs.select(F.col(key).alias("id")).join(summed, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl")).checkpoint()
+    else:
+        body = T.normalize_identifiers(F.col("text")) if normalize else F.col("text")
+        lengths = rows.select("id", F.size(T.tokens(body)).cast("long").alias("dl"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -80,25 +111,29 @@ def query_terms(queries: DataFrame, *, normalize: bool = True) -> DataFrame:
 def search(index: Index, queries: DataFrame, k: int, *, normalize: bool = True) -> DataFrame:
     """``qid, id, score, rank``, the ``k`` best of every query.
 
-    The queries' terms are counted first; up to ``CARRIED`` of them go to the
-    postings, beyond that the postings are shuffled by term.  Scores are
-    summed per (query, document) with partial sums before the shuffle (a posting
-    carries its document's length, so no join fetches it), and the
-    rank filter keeps ``k`` rows per query in every task before the last one.
-    Ties go to the smaller id.
+    The queries' terms are counted first.  Up to ``CARRIED`` of them go to the
+    postings: those of the asked terms are weighted, brought together by
+    document (each once, however many queries ask for it), and only then met
+    with the queries, so that scores are summed and the ``k`` best of every
+    task are kept without another shuffle of (query, document) pairs.  Beyond
+    that the postings are shuffled by term, salted, since a term may stand in
+    every document.  Ties go to the smaller id.
     """
     asked = query_terms(queries, normalize=normalize)
     small = asked.limit(CARRIED + 1).count() <= CARRIED
-    asked = asked.join(index.terms.select("term", "idf"), "term")
+    known = index.terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf")
+    value = (F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w")
+    corpus = F.broadcast(index.corpus)  # one row
     if small:
-        matched = index.postings.join(F.broadcast(asked), "term")
-    else:  # a term of every document is spread over tasks by its documents
+        known = F.broadcast(known)
+        mine = index.postings.join(known, "term").crossJoin(corpus).select("id", F.xxhash64("term").alias("t"), value).repartition("id")
+        matched = mine.join(F.broadcast(asked.select("qid", F.xxhash64("term").alias("t"), "qtf")), "t")
+        scores = matched.groupBy("id", "qid").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 9).alias("score")).select("qid", "id", "score")
+    else:
         salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_s")
-        spread = asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        matched = index.postings.select("*", salt).join(spread, ["term", "_s"])
-    matched = matched.crossJoin(F.broadcast(index.corpus))  # one row
-    part = F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("qtf")
-    scores = matched.groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"))
+        spread = asked.join(known, "term").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        matched = index.postings.select("*", salt).join(spread, ["term", "_s"]).crossJoin(corpus).select("qid", "id", value, "qtf")
+        scores = matched.groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 9).alias("score"))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -505,7 +505,10 @@ def graph_edges(s, d):
 
 def graph_terms(s, d):
     rows = sectioned_chunks(s, d)
-    return graph.term_stats(rows, graph.anchors(rows)).select("term", "display_name", "term_type", "definition_strength", F.size("sections").alias("n_sections"), F.size("doc_ids").alias("n_docs"))
+    checkpointing(s)
+    candidates = graph.term_rows(rows, graph.anchors(rows)).checkpoint()
+    out = graph.term_stats(candidates, graph.term_sections(candidates))
+    return out.select("term", "display_name", "term_type", "definition_strength", F.col("n_sections").cast("int").alias("n_sections"), F.col("n_docs").cast("int").alias("n_docs"))
 
 
 def built_graph(s, d):
