@@ -61,9 +61,15 @@ class Top:
         wide = max(1, min(len(ids), 8192))
         tall = max(1, self.TILE // wide)
         for lo in range(0, len(ids), wide):
-            some = ids[lo : lo + wide]
-            kept = [self.merge(at, matrix[at : at + tall] @ block[lo : lo + wide].T, some) for at in range(0, self.n, tall)]
-            self.scores, self.ids = np.concatenate([s for s, _ in kept]), np.concatenate([i for _, i in kept])
+            self.put((matrix[at : at + tall] @ block[lo : lo + wide].T for at in range(0, self.n, tall)), ids[lo : lo + wide])
+
+    def put(self, tiles: Iterator[np.ndarray], ids: np.ndarray) -> None:
+        """Merge the scores of ``ids`` for all queries, given in tiles of successive queries; what does not match has -inf."""
+        kept, at = [], 0
+        for tile in tiles:
+            kept.append(self.merge(at, tile, ids))
+            at += len(tile)
+        self.scores, self.ids = np.concatenate([s for s, _ in kept]), np.concatenate([i for _, i in kept])
 
     def merge(self, at: int, fresh: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fresh = np.round(fresh, 9)
@@ -80,9 +86,10 @@ class Top:
 
     def rows(self, names: list, at: int, end: int) -> pa.RecordBatch:
         width = self.scores.shape[1]
-        asked = [n for n in names[at:end] for _ in range(width)]
-        ids = pa.array([], pa.int64()) if self.ids is None else pa.array(self.ids[at:end].reshape(-1))
-        return pa.RecordBatch.from_arrays([pa.array(asked, pa.string() if not asked else None), ids, pa.array(self.scores[at:end].reshape(-1))], names=["qid", "id", "score"])
+        real = np.isfinite(self.scores[at:end]).reshape(-1)
+        asked = pa.array(names[at:end]).take(pa.array(np.repeat(np.arange(len(names[at:end])), width)[real]))
+        ids = pa.array([], pa.int64()) if self.ids is None else pa.array(self.ids[at:end].reshape(-1)[real])
+        return pa.RecordBatch.from_arrays([asked, ids, pa.array(self.scores[at:end].reshape(-1)[real])], names=["qid", "id", "score"])
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
 from ..session import checkpointing
+from .dense import Top
 
 K1, B = 1.5, 0.75
 #: Terms of a set of queries that are sent to every task of the postings, at most.
@@ -114,8 +115,9 @@ def search(index: Index, queries: DataFrame, k: int, *, normalize: bool = True)
     The queries' terms are counted first.  Up to ``CARRIED`` of them go to the
     postings: those of the asked terms are weighted, brought together by
     document (each once, however many queries ask for it), and only then met
-    with the queries, so that scores are summed and the ``k`` best of every
-    task are kept without another shuffle of (query, document) pairs.  Beyond
+    with the queries, in a matrix of documents and queries for blocks of
+    documents, so that scores are summed and the ``k`` best of every task are
+    kept without a row for every (query, document) pair.  Beyond
     that the postings are shuffled by term, salted, since a term may stand in
     every document.  Ties go to the smaller id.
     """
@@ -126,9 +128,10 @@ def search(index: Index, queries: DataFrame, k: int, *, normalize: bool = True)
     corpus = F.broadcast(index.corpus)  # one row
     if small:
         known = F.broadcast(known)
-        mine = index.postings.join(known, "term").crossJoin(corpus).select("id", F.xxhash64("term").alias("t"), value).repartition("id")
-        matched = mine.join(F.broadcast(asked.select("qid", F.xxhash64("term").alias("t"), "qtf")), "t")
-        scores = matched.groupBy("id", "qid").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 9).alias("score")).select("qid", "id", "score")
+        mine = index.postings.join(known, "term").crossJoin(corpus).select("id", F.xxhash64("term").alias("t"), value).repartition("id").sortWithinPartitions("id")
+        wanted = asked.select("qid", F.xxhash64("term").alias("t"), "qtf").orderBy("qid", "t").toArrow()  # bounded by CARRIED
+        shape = f"qid {queries.schema['qid'].dataType.simpleString()}, id {index.postings.schema['id'].dataType.simpleString()}, score double"
+        scores = mine.mapInArrow(partial(_score, wanted, k), shape)
     else:
         salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_s")
         spread = asked.join(known, "term").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -138,6 +141,49 @@ def search(index: Index, queries: DataFrame, k: int, *, normalize: bool = True)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _score(wanted: pa.Table, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best documents of a partition for every query, of its weighted postings ``id, t, w`` sorted by document."""
+    qids, which = np.unique(np.array(wanted.column("qid").to_pylist(), dtype=object).astype(str), return_inverse=True) if len(wanted) else (np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64))
+    names = wanted.column("qid").take(pa.array([int(np.flatnonzero(which == i)[0]) for i in range(len(qids))], pa.int64())).to_pylist()
+    t, f = wanted.column("t").to_numpy(), wanted.column("qtf").to_numpy().astype(np.float64)
+    order = np.argsort(t, kind="stable")
+    t, f, which = t[order], f[order], which[order]
+    top = Top(len(names), k)
+    rest = None
+
+    def block(ids: np.ndarray, terms: np.ndarray, w: np.ndarray) -> None:
+        docs, row = np.unique(ids, return_inverse=True)
+        by_term = np.argsort(terms, kind="stable")
+        cuts = np.flatnonzero(np.diff(terms[by_term])) + 1
+        groups = np.split(by_term, cuts)
+        tall = max(1, Top.TILE // max(1, len(docs)))
+        def tiles() -> Iterator[np.ndarray]:
+            for at in range(0, len(names), tall):
+                scores = np.zeros((min(tall, len(names) - at), len(docs)))
+                for g in groups:
+                    lo, hi = np.searchsorted(t, terms[g[0]], side="left"), np.searchsorted(t, terms[g[0]], side="right")
+                    inside = (which[lo:hi] >= at) & (which[lo:hi] < at + len(scores))
+                    if inside.any():
+                        # a document has one posting of a term, so no cell is met twice
+                        scores[np.ix_(which[lo:hi][inside] - at, row[g])] += f[lo:hi][inside][:, None] * w[g][None]
+                yield np.where(scores > 0, np.round(scores, 9), -np.inf)
+        top.put(tiles(), docs)
+
+    for batch in batches:
+        ids, terms, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "t", "w"))
+        if rest is not None:
+            ids, terms, w = (np.concatenate(x) for x in zip(rest, (ids, terms, w)))
+        # the last document may go on in the next batch
+        whole = int(np.searchsorted(ids, ids[-1], side="left")) if len(ids) else 0
+        rest = (ids[whole:], terms[whole:], w[whole:])
+        if whole and len(names):
+            block(ids[:whole], terms[:whole], w[:whole])
+    if rest is not None and len(rest[0]) and len(names):
+        block(*rest)
+    for at in range(0, len(names) if top.ids is not None else 0, 4096):
+        yield top.rows(names, at, at + 4096)
+
+
 def score_texts(index: Index, pairs: DataFrame, *, normalize: bool = True) -> DataFrame:
     """``qid, item, score`` of ``qid, item, query, text``: BM25 of a text for a query under the index's statistics.
 
