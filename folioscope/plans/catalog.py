@@ -19,7 +19,7 @@ from ..operators import agent, chunk, clean, dense, evalkit, evidence, fuse, gra
 from ..session import checkpointing
 from ..sources.tables import table
 from ..streaming import pages as streaming
-from . import oracles, pieces
+from . import graph_oracles, oracles, pieces
 from .datasets import chunk_store, chunks_of_hits, fused, hits, pages, pair_answers, questions, search_set, sectioned_chunks, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -623,4 +623,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracles.oracle_sql(), **pieces.oracle_sql()}
+    return {**oracles.oracle_sql(), **pieces.oracle_sql(), **graph_oracles.oracle_sql()}

@@ -19,7 +19,13 @@ def chunks_of_hits(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_store(s: SparkSession, d: str) -> DataFrame:
-    return store.number_rows(chunks_of_hits(s, d), ["doc_id", "start_page", "chunk_id"], "vector_id")
+    """Chunks numbered by document, page and id: only the keys are sorted and written down; texts come in where they are asked for."""
+    rows = table(s, d, "chunk_hits").where("doc_id is not null and chunk_id is not null and text is not null")
+    keys = rows.groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min("start_page").alias("start_page"), F.min("end_page").alias("end_page"))
+    numbered = store.number_rows(keys, ["doc_id", "start_page", "chunk_id"], "vector_id")
+    texts = rows.groupBy("chunk_id").agg(F.max("text").alias("text"))
+    # a text for every chunk, so a use without texts needs no join
+    return numbered.join(texts, "chunk_id", "left").select("chunk_id", "doc_id", "start_page", "end_page", "text", "vector_id")
 
 
 def hits(s: SparkSession, d: str) -> DataFrame:
