@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .encode import encode_texts
@@ -11,6 +11,8 @@ from .encode import encode_texts
 CAPACITY = 2048
 #: Documents that are packed together in one task.  Each such shard leaves about one container partly empty.
 SHARD = 4096
+#: Containers of a level that are looked at for one without an item's source, where sources only guide the choice.
+LOOK = 32
 PACKED = "container long, doc_id long, start int, end int"
 
 
@@ -24,8 +26,9 @@ class Bins:
     duplicate clusters in it.
     """
 
-    def __init__(self, capacity: int):
+    def __init__(self, capacity: int, one_of_source: bool = False):
         self.capacity = capacity
+        self.one_of_source = one_of_source
         self.levels: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.mask = 0
         self.sources: list[int] = []
@@ -34,9 +37,12 @@ class Bins:
     def put(self, size: int, source: int, cluster: int) -> int:
         """The container for an item; ``source`` and ``cluster`` are bits (0: none).
 
-        A container with a copy of the item is never taken: the search goes on
-        to the next level until one is compatible.  Among the compatible ones of
-        the tightest level, one without the item's source is preferred.
+        A container with a copy of the item is never taken, nor, with
+        ``one_of_source``, one with its source: the search goes on to the next
+        level until one is compatible.  Without it, among the compatible ones of
+        the tightest level one without the item's source is preferred; of each
+        level only the first ``LOOK`` containers are looked at for that, since
+        it decides on nothing but the mixture.
         """
         rest = self.mask >> size << size
         while rest:
@@ -48,8 +54,10 @@ class Bins:
                 if not self.sources[b] & source:
                     found = at
                     break
-                if found < 0:
+                if found < 0 and not self.one_of_source:
                     found = at
+                if found >= 0 and at >= LOOK:
+                    break
             if found >= 0:
                 b = level.pop(found)
                 if not level:
@@ -67,7 +75,7 @@ class Bins:
         return b
 
 
-def pack(items: Iterable[tuple], capacity: int = CAPACITY) -> list[tuple]:
+def pack(items: Iterable[tuple], capacity: int = CAPACITY, one_of_source: bool = False) -> list[tuple]:
     """``(container, key, start, end)`` of ``(size, key, source, cluster)`` items, largest first.
 
     An item beyond the capacity fills containers of its own and its remainder
@@ -89,7 +97,7 @@ def pack(items: Iterable[tuple], capacity: int = CAPACITY) -> list[tuple]:
     for _, _, _, _, cluster in rest:
         copies[cluster] = copies.get(cluster, 0) + 1
     bits: dict = {}
-    bins, sources = Bins(capacity), {}
+    bins, sources = Bins(capacity, one_of_source), {}
     for size, key, start, source, cluster in rest:
         s = 0 if source is None else 1 << sources.setdefault(source, len(sources))
         c = 0 if cluster is None or copies[cluster] < 2 else 1 << bits.setdefault(cluster, len(bits))
@@ -99,7 +107,7 @@ def pack(items: Iterable[tuple], capacity: int = CAPACITY) -> list[tuple]:
     return out
 
 
-def pack_documents(df: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, path: str | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, path: str | None = None, one_of_source: bool = False) -> DataFrame:
     """``container, doc_id, start, end`` (token range, end excluded) of every row with ``doc_id, source, text``.
 
     Texts are measured in tokens of byte_bpe_50k.  The rows are dealt to shards
@@ -111,7 +119,10 @@ def pack_documents(df: DataFrame, capacity: int = CAPACITY, shard: int = SHARD,
     Defined cases: empty and null texts have no tokens and stand in the result
     with a null container and the range 0 to 0.  A text of more than
     ``capacity`` tokens is divided, others never.  Copies of one text never
-    share a container.  A null source or id is allowed; repeated rows are
+    share a container; with ``one_of_source`` neither do documents of one
+    source (a conflict like that of copies; off by default, since a source with
+    a third of all documents would leave containers half empty, and the aim is
+    as little unused room as possible).  A null source or id is allowed; repeated rows are
     packed each.  An empty table gives an empty result.
     """
     shards = max(1, -(-df.count() // shard))
@@ -119,11 +130,10 @@ def pack_documents(df: DataFrame, capacity: int = CAPACITY, shard: int = SHARD,
     sized = encode_texts(rows, keep=("source", "cluster"), path=path, count_only=True)
     dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
 
-    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-        got = pack(zip(pdf["n_tokens"].tolist(), ids, pdf["source"].tolist(), pdf["cluster"].tolist()), capacity)
-        out = pd.DataFrame(got, columns=["container", "doc_id", "start", "end"]).astype({"container": "Int64", "doc_id": "Int64"})
-        out["container"] += int(key[0]) << 32
-        return out
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        got = pack(zip(*(table.column(c).to_pylist() for c in ("n_tokens", "doc_id", "source", "cluster"))), capacity, one_of_source)
+        first = key[0].as_py() << 32
+        columns = [[None if c is None else c + first for c, *_ in got], *([x[i] for x in got] for i in (1, 2, 3))]
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(("container", "doc_id", "start", "end"), columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))})
 
-    return dealt.groupBy("shard").applyInPandas(fill, PACKED)
+    return dealt.groupBy("shard").applyInArrow(fill, PACKED)

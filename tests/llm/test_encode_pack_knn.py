@@ -201,3 +201,24 @@ def test_equal_projections_do_not_gather():
     dirs, cuts = fit(x, 500, 2, 50, 1)
     assert np.isfinite(dirs).all() and probes_needed(x, dirs, cuts, 5, 8, 0.9, 1) >= 2
     assert (route(x, dirs, cuts, 2)[2].sum(1) == 2).all()
+
+
+def test_sources_as_conflicts():
+    from folioscope.llm.pack import pack
+
+    items = [(100 + i % 700, i, f"s{i % 7}", None) for i in range(400)]
+    got = pack(items, 2048, one_of_source=True)
+    inside: dict = {}
+    for container, key, start, end in got:
+        inside.setdefault(container, []).append(key % 7)
+        assert end - start == 100 + key % 700
+    assert all(len(x) == len(set(x)) for x in inside.values()) and len(got) == 400
+    assert len(inside) > len({c for c, *_ in pack(items, 2048)})
+
+
+def test_large_ids_survive_packing(spark):
+    from folioscope.llm.pack import pack_documents
+
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "s", "one two three"), (None, "s", "four"), (big + 2, None, "")], "doc_id long, source string, text string")
+    assert {r["doc_id"] for r in pack_documents(df).collect()} == {big, None, big + 2}
