@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .conf import EngineConf
 from .functions import text as T
 from .operators import agent, evidence, graph, planner, retrieve
+from .session import checkpointing
 
 
 def payload(hits: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
@@ -56,14 +57,15 @@ def ask_agent(queries: DataFrame, corpus: retrieve.Corpus, conf: EngineConf = En
     plans = planner.analyse(queries)
     sections = None
     if nodes is not None:
-        plans = planner.apply_lookup(plans, lookups(plans, nodes, edges))
+        # looked up once, not in every round
+        checkpointing(queries.sparkSession)
+        plans = planner.apply_lookup(plans, lookups(plans, nodes, edges)).checkpoint()
         if corpus.metadata is not None:
             sections = plans.select("qid", F.explode("candidate_section_ids").alias("section_id"))
 
     def fetch(active: DataFrame) -> DataFrame:
-        found = retrieve.retrieve_plans(active, corpus, conf, None, sections).final
-        scope = active.select("qid", "doc_ids")
-        return found.join(scope, "qid").where((F.size("doc_ids") == 0) | F.array_contains("doc_ids", F.col("doc_id"))).drop("doc_ids")
+        # every question's own documents narrow its rankings before they are cut and fused
+        return retrieve.retrieve_plans(active, corpus, conf, None, sections).final
 
     state, items = agent.run(plans, fetch, conf, normalize=corpus.normalize)
     asked = state.where("sufficient").select("qid", F.col("answer_prompt_question").alias("query"))

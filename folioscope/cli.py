@@ -8,25 +8,40 @@ from pyspark.sql import SparkSession
 
 from . import api
 from .conf import EngineConf, parse_ks
-from .operators import evalkit, retrieve
+from .operators import dense, evalkit, lexical, retrieve
 from .plans import catalog
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="folioscope")
-    p.add_argument("command", choices=["search", "ask", "agent", "eval", "query"])
+    p.add_argument("command", choices=["search", "ask", "agent", "eval", "query", "build", "serve"])
     p.add_argument("data", help="folder of the Parquet tables")
     p.add_argument("text", nargs="?", default="", help="the question, or the name of a catalogue query")
     p.add_argument("--k", type=int)
     p.add_argument("--ks", default="1,3,5,8")
     p.add_argument("--save-json")
+    p.add_argument("--out", default="index", help="folder of build")
+    p.add_argument("--port", type=int, default=8000)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("folioscope").getOrCreate()
     conf = EngineConf.from_env().checked()
     if a.command == "query":
         catalog.queries()[a.text](spark, a.data).show(50, truncate=80)
         return 0
-    corpus = retrieve.corpus_of(catalog.chunk_store(spark, a.data))
+    store = catalog.chunk_store(spark, a.data)
+    if a.command == "build":
+        corpus = retrieve.corpus_of(store)
+        store.write.mode("overwrite").parquet(f"{a.out}/chunk_store")
+        lexical.write_index(corpus.index, a.out)
+        dense.write_vectors(corpus.vectors, a.out, "hashed-64")
+        return 0
+    corpus = retrieve.corpus_of(store)
+    if a.command == "serve":
+        from wsgiref.simple_server import make_server
+
+        from .http import application
+
+        make_server("127.0.0.1", a.port, application(spark, corpus, conf, a.out)).serve_forever()
     if a.command == "search":
         out = api.search(spark, a.text, corpus, a.k, conf)
     elif a.command == "ask":

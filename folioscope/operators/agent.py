@@ -98,13 +98,14 @@ def verify(state: DataFrame) -> DataFrame:
     return state.withColumn("refusal_reason", reason).withColumns({"result": F.when(F.col("refusal_reason") == "", "ok").otherwise("refuse"), "final_answer": F.when(F.col("refusal_reason") == "", draft).otherwise(refusal_message(F.col("refusal_reason")))})
 
 
-def run(plans: DataFrame, retrieve: Callable[[DataFrame], DataFrame], conf: EngineConf = EngineConf(), *, normalize: bool = True) -> tuple[DataFrame, DataFrame]:
+def run(plans: DataFrame, retrieve: Callable[[DataFrame], DataFrame], conf: EngineConf = EngineConf(), *, normalize: bool = True, trace: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Q29, Q34: the state of every question after the last round, and its evidence.
 
     ``retrieve`` turns the plans of the active questions into hits.  A round
     retrieves for all active questions in one plan, adds what is new to their
     evidence (U03), assesses it, and refines the queries of those that still
-    lack something; budgets are columns.  The lineage is cut between rounds by
+    lack something; budgets are columns.  ``trace`` gets the state of every
+    round's questions as the round left it (see ``reports.round_events``).  The lineage is cut between rounds by
     checkpoints in the shared folder.
     """
     checkpointing(plans.sparkSession)
@@ -132,4 +133,6 @@ def run(plans: DataFrame, retrieve: Callable[[DataFrame], DataFrame], conf: Engi
         state = state.join(refined, "qid")
         state = state.withColumns({c: F.when(F.col("active"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("sparse_query", "dense_query", "strategy")})
         state = state.withColumn("steps", F.when(F.col("active"), F.col("steps") + 1).otherwise(F.col("steps"))).drop("_sparse_query", "_dense_query", "_strategy").checkpoint()
+        if trace is not None:
+            trace.append(state.where(F.col("round") == n))
     return state, evidence

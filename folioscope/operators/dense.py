@@ -1,13 +1,14 @@
 """Exact dense search over stored vectors."""
 from __future__ import annotations
 
+import io
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -130,6 +131,39 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def write_vectors(vectors: DataFrame, path: str, model: str, **facts) -> None:
+    """``vectors(id, vector)`` with a description beside them; together they can be read back as an index."""
+    vectors.select("id", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
+    size = F.max(F.size("vector"))
+    meta = vectors.agg(F.count(F.lit(1)).alias("num_vectors"), size.alias("dim")).withColumns({"model_name": F.lit(model), **{k: F.lit(v) for k, v in facts.items()}})
+    meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def read_vectors(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """The vectors of ``write_vectors``; another model's are an error."""
+    found = spark.read.json(f"{path}/meta").head()
+    if model is not None and found["model_name"] != model:
+        raise ValueError(f"the vectors are of {found['model_name']!r}, not of {model!r}")
+    return spark.read.parquet(f"{path}/vectors")
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """``file, row, vector`` of NumPy files of two dimensions, each read where it lies."""
+    from ..session import ship
+
+    ship(spark)
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                x = np.load(io.BytesIO(content), allow_pickle=False).astype(np.float64)
+                for lo in range(0, len(x), 10_000):
+                    part = x[lo : lo + 10_000]
+                    yield pd.DataFrame({"file": name, "row": np.arange(lo, lo + len(part)), "vector": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, "file string, row long, vector array<double>")
+
+
 def spread_pages(hits: DataFrame, k: int, per_page: int = 1) -> DataFrame:
     """Of ranked ``hits`` (already cut to the candidates) the best ``per_page`` of every page span, ``k`` per query, ranked anew."""
     page = W.partitionBy("qid", "doc_id", "start_page", "end_page").orderBy("rank")

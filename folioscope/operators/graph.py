@@ -216,6 +216,11 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, result
 
 
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The rows of both, the new one where both have a key."""
+    return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
 def sorted_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """L07."""
     return nodes.orderBy("label", F.coalesce("doc_id", F.lit("")), "node_id"), edges.orderBy("type", "source_id", "target_id", F.coalesce("doc_id", F.lit("")))

@@ -97,8 +97,17 @@ def spec_delta(base: DataFrame, hybrid: DataFrame, k: int = 5, doc_id: str = SPE
     return rows.withColumn("delta", F.col("hybrid") - F.col("base"))
 
 
+def round_events(rounds: list[DataFrame]) -> DataFrame:
+    """Q35: the events of all rounds of the agent, each read off the state in which its round left the questions (``trace`` of ``agent.run``)."""
+    out = None
+    for n, state in enumerate(rounds):
+        own = trace_events(state).where(F.lit(n == 0) | ~F.col("node").isin("analyze_query")).withColumn("seq", F.col("seq") + 100 * n)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def trace_events(state: DataFrame) -> DataFrame:
-    """Q35: the events of the agent's run, read off its final state: ``run_id, seq, type, node, payload``."""
+    """Q35: the events of one round of the agent, read off its state: ``run_id, seq, type, node, payload``."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     event = lambda kind, node, **fields: F.struct(F.lit(kind).alias("type"), F.lit(node).alias("node"), F.create_map(*[x for k, c in fields.items() for x in (F.lit(k), text(c))]).cast("map<string,string>").alias("payload"))
     items = F.array(

@@ -26,6 +26,15 @@ class Corpus:
     normalize: bool = True
 
 
+def retriever(name: str) -> Callable[[Corpus, DataFrame, int], DataFrame]:
+    """A single search by the name of its back end: ``(corpus, queries(qid, query), k)`` to ``qid, id, score, rank``."""
+    if name == "bm25":
+        return lambda corpus, queries, k: lexical.search(corpus.index, queries, k, normalize=corpus.normalize)
+    if name == "faiss":
+        return lambda corpus, queries, k: dense.search(corpus.encode(queries), corpus.vectors, k)
+    raise ValueError(f"no retriever {name!r}; there are: bm25, faiss")
+
+
 @dataclass(frozen=True)
 class Stages:
     """The hits of a set of queries after each stage, and how many the reranker saw."""
@@ -61,15 +70,26 @@ def with_places(ids: DataFrame, store: DataFrame) -> DataFrame:
     return ids.join(store.select(F.col("vector_id").alias("id"), *fuse.PLACE), "id").drop("id")
 
 
-def candidates(requests: DataFrame, corpus: Corpus, k: int, search_k: int, doc_ids: list[str] | None = None) -> DataFrame:
-    """Rankings ``qid, ranking_id, rank`` + hits (without texts) of ``requests(qid, ranking_id, source, text)``; ``source`` is dense or lexical."""
+def candidates(requests: DataFrame, corpus: Corpus, k: int, search_k: int, doc_ids: list[str] | None = None, scopes: DataFrame | None = None) -> DataFrame:
+    """Rankings ``qid, ranking_id, rank`` + hits (without texts) of ``requests(qid, ranking_id, source, text)``; ``source`` is dense or lexical.
+
+    With ``scopes`` (``qid, doc_ids``) a question that names documents gets
+    four times the candidates, of which only those of its documents count.
+    """
+    deep = 4 * search_k if scopes is not None else search_k
     keyed = requests.select(F.to_json(F.struct("qid", "ranking_id")).alias("rid"), "qid", "ranking_id", "source", F.col("text").alias("query"))
     asked = keyed.select(F.col("rid").alias("qid"), "query", "source")
-    words = lexical.search(corpus.index, asked.where("source = 'lexical'"), search_k, normalize=corpus.normalize)
-    near = dense.search(corpus.encode(asked.where("source = 'dense'")), corpus.vectors, max(search_k, 25))
-    near = dense.spread_pages(with_places(near, corpus.store), search_k)
+    words = lexical.search(corpus.index, asked.where("source = 'lexical'"), deep, normalize=corpus.normalize)
+    near = dense.search(corpus.encode(asked.where("source = 'dense'")), corpus.vectors, max(deep, 25))
+    if scopes is not None:
+        named = keyed.join(scopes.where(F.size("doc_ids") > 0), "qid").select(F.col("rid").alias("qid"), "doc_ids")
+        reach = lambda df, n: df.join(named, "qid", "left").where(F.col("doc_ids").isNotNull() | (F.col("rank") <= n))
+        words, near = reach(words, search_k).drop("doc_ids"), reach(near, max(search_k, 25)).drop("doc_ids")
+    near = dense.spread_pages(with_places(near, corpus.store), deep)
     found = with_places(words, corpus.store).unionByName(near)
     found = in_scope(found, doc_ids)
+    if scopes is not None:
+        found = found.join(named, "qid", "left").where(F.col("doc_ids").isNull() | F.array_contains("doc_ids", F.col("doc_id"))).drop("doc_ids")
     found = found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("rank"))).where(F.col("rank") <= k)
     return found.withColumnRenamed("qid", "rid").join(keyed.select("rid", "qid", "ranking_id"), "rid").drop("rid")
 
@@ -115,6 +135,7 @@ def retrieve_plans(plans: DataFrame, corpus: Corpus, conf: EngineConf = EngineCo
         kept = "lexical" if conf.vector_backend == "bm25" else "dense"
         pairs = F.filter(pairs, lambda p: p["source"] == kept)
     requests = plans.select("qid", F.posexplode(F.array_distinct(pairs)).alias("n", "p")).select("qid", F.concat_ws("-", "p.source", F.col("n").cast("string")).alias("ranking_id"), "p.source", "p.text")
-    rankings = candidates(requests, corpus, per_source, per_source * (4 if doc_ids else 1), doc_ids)
+    scopes = plans.select("qid", "doc_ids") if "doc_ids" in plans.columns else None
+    rankings = candidates(requests, corpus, per_source, per_source * (4 if doc_ids else 1), doc_ids, scopes)
     queries = plans.select("qid", F.col("canonical_query").alias("query"))
     return staged(rankings, queries, corpus, conf, doc_ids, sections)

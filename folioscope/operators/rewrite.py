@@ -174,6 +174,13 @@ def protected_spans(query: Column) -> Column:
     return T.first_seen(F.concat(anchor_terms(query), document_spans(query)), fold=True)
 
 
+def occurs_in(term: Column, text: Column) -> Column:
+    """Whether a term stands in a text, white space and case aside, between signs that are no letters or digits."""
+    body = F.concat(F.lit(" "), F.regexp_replace(T.normalize_term(text), r"[^\p{L}\p{N}._-]+", " "), F.lit(" "))
+    key = T.normalize_term(term)
+    return (key != "") & F.contains(body, F.concat(F.lit(" "), key, F.lit(" ")))
+
+
 def names_document(span: Column) -> Column:
     found = F.lit(False)
     for p, _, _ in ALIASES:

@@ -497,6 +497,15 @@ def agent_answers(s, d):
     return out.select("qid", "result", "refusal_reason", "stop_reason", "round")
 
 
+def agent_answers_graph(s, d):
+    """The agent over the parsed blocks, with look-ups in their graph and the sections it names."""
+    blocks = store.build_store(sectioned_chunks(s, d))
+    corpus = retrieve.corpus_of(blocks.select("vector_id", "chunk_id", "doc_id", "start_page", "end_page", "text"), metadata=blocks.select("chunk_id", "section_path"))
+    nodes, edges = built_graph(s, d)
+    out = api.ask_agent(search_set(s, d), corpus, CONF, nodes=nodes, edges=edges)
+    return out.select("qid", "result", "refusal_reason", "stop_reason", "round")
+
+
 def trace_events(s, d):
     kind = F.when(F.col("event_type") == "purchase", "step").otherwise(F.col("event_type"))
     node = F.when(F.col("event_type") == "purchase", F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string")))
@@ -609,7 +618,7 @@ QUERIES: list[Query] = [
     query_anchors, anchor_spans, rerank_hits, hybrid_topk, base_topk, query_plans, planned_topk, best_hits, context_budget, neighbor_expand, evidence_select,
     evidence_contexts, citation_keys, answer_problems, enforced_answers, answer_metrics, answers_end_to_end, algorithm_answers, comparison_answers,
     algorithm_headers, mentioned_algorithms, phrase_terms, section_edges, document_spans, algorithm_anchors, graph_nodes, graph_edges, graph_terms, term_lookup,
-    algorithm_lookup, graph_export, evidence_assessment, agent_answers, trace_carry_forward, trace_by_node, trace_latest, windowed_events, gold_overlap,
+    algorithm_lookup, graph_export, evidence_assessment, agent_answers, agent_answers_graph, trace_carry_forward, trace_by_node, trace_latest, windowed_events, gold_overlap,
     gold_first_ranks, retrieval_metrics, mean_retrieval_metrics, mrr, hit_rates, miss_causes, doc_diversity, question_counts, question_problems, config_summary,
     question_report, spec_hits, page_totals, table_hashes,
     canon_lines_whole, previews_whole, embedding_texts_whole, index_terms_whole, index_corpus_whole, bm25_topk_whole, bm25_score_texts_whole, rerank_hits_whole,

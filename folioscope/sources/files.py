@@ -1,6 +1,7 @@
 """File sources and sinks: JSON lines, text, binary files, CSV, and the registries of parsers and retrievers."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -17,9 +18,8 @@ NODES = "node_id string, label string, doc_id string, start_page int, end_page i
 EDGES = "edge_id string, type string, source_id string, target_id string, doc_id string, start_page int, end_page int, properties string"
 SCHEMAS = {"pages": PAGES, "chunks": CHUNKS, "questions": QUESTIONS, "nodes": NODES, "edges": EDGES}
 
-#: Parser and retriever back ends by name; a parser maps (path, bytes) to pages.
+#: Parsers by name; one maps (path, bytes) to pages.  See ``markdown_pages`` for one, ``operators.retrieve.retriever`` for searches.
 PARSERS: dict[str, Callable[[str, bytes], list[dict]]] = {}
-RETRIEVERS = ("faiss", "bm25")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, *, strict: bool = True) -> DataFrame:
@@ -84,6 +84,30 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(T.strip(F.col("value")) != "").select(T.strip(F.col("value")).alias("question"))
 
 
+def markdown_pages(path: str, content: bytes) -> list[dict]:
+    """A parser of Markdown or text files: a form feed or a line of five dashes or more ends a page."""
+    pages = re.split(r"\f|^-{5,}[ \t]*$", content.decode("utf-8", "replace"), flags=re.M)
+    return [{"page_number": n, "text": p.strip("\n"), "markdown": p.strip("\n"), "parser_backend": "markdown"} for n, p in enumerate(pages, 1)]
+
+
+PARSERS["markdown"] = markdown_pages
+
+
+def in_batches(render: Callable[[list[int]], list[dict]], numbers: list[int], size: int = 16) -> list[dict]:
+    """Pages of a back end that reads several at once: a batch that fails is halved, down to single pages; a page that fails alone holds its error."""
+    out, todo = [], [numbers[i : i + size] for i in range(0, len(numbers), size)]
+    while todo:
+        batch = todo.pop(0)
+        try:
+            out += render(batch)
+        except Exception as e:  # noqa: BLE001 - a back end may raise anything
+            if len(batch) > 1:
+                todo = [batch[: len(batch) // 2], batch[len(batch) // 2 :], *todo]
+            else:
+                out.append({"page_number": batch[0], "text": f"{type(e).__name__}: {e}"})
+    return sorted(out, key=lambda r: r["page_number"])
+
+
 def parser(name: str) -> Callable[[str, bytes], list[dict]]:
     """S21."""
     if name not in PARSERS:
