@@ -32,6 +32,11 @@ CLASSES = {
     # insults that need an address, since the words have other uses
     "insult": """fool loser clown pig rat worm coward liar dog cow freak creep weirdo dummy dolt dimwit halfwit nitwit simpleton blockhead airhead buffoon jackass jerk snake parasite
     leech slob psycho nutcase sicko pervert degenerate lowlife cretin donkey ape disgrace trash garbage filth scum crybaby brat hag witch fatso pighead numbskull dunce""".split(),
+    "worst": "dumbest stupidest ugliest vilest dullest".split(),
+    "vilede": "hasslicher hassliche dummer dumme bloder blode widerlicher widerliche elender elende mieser miese dreckiger dreckige fetter fette bescheuerter bescheuerte".split(),
+    "faults": """lazy stupid liar thief thieve criminal rapist dirty disgusting primitive filthy useless worthless stink steal cheat parasite violent savage terrorist dumb retarded barbaric
+    greedy evil subhuman inbred""".split(),
+    "harmed": "beaten shot killed hanged hung burned burnt deported expelled eliminated sterilized castrated raped drowned gassed exterminated lynched whipped caged".split(),
     "vile": """stupid dumb worthless pathetic disgusting ugly retarded brainless idiotic moronic braindead repulsive vile hideous filthy spineless useless gutless clueless ignorant
     miserable stinking revolting despicable contemptible""".split(),
     "violent": """kill slit stab shoot beat hurt smash strangle choke hang rape destroy crush murder bury punch slap slaughter behead skin gut drown burn break cut knife maim torture butcher
@@ -91,6 +96,14 @@ abusive 0.8 va_te_faire|nique_ta|creve => va te faire|nique ta|va crever|creve,|
 abusive 0.9 voy_a_matarte|te_vamos_a|voy_a_partirte => (?:voy|vamos) a (?:matarte|partirte|golpearte|romperte|rajarte)|te vamos a (?:matar|partir|golpear|romper|rajar)
 abusive 0.7 eres_un => eres (?:un|una|tan|muy|mas) (?:<word> ){0,2}?(?:tont[oa]|idiota|imbecil|estupid[oa]|inutil|asqueros[oa]|patetic[oa]|basura|cobarde|verguenza|cerd[oa]|rata|fracasad[oa]|mierda)
 abusive 0.8 vete_a_la|chinga_tu|que_te_den|muerete => vete a la mierda|chinga tu|que te den|muerete
+abusive 0.7 @worst|make_me_sick|disgust_me => you(?:'re| are) (?:<word> )?(?:the )?(?:@worst|most @vile)|you (?:all )?(?:make me sick|disgust me)|you (?:<word> )?@vile (?:<word> )?[a-z]+
+abusive 0.8 your_mother|your_mom|your_parents => your (?:mother|mom|parents|father|whole family)(?: <word>){0,2} (?:aborted|ashamed|whore|drowned|regret|hate you|a mistake)
+abusive 0.8 jump_off|hang_yourself|drown_yourself|shoot_yourself|slit_your_wrists|die_in_a|end_your_life|off_yourself => (?:go )?jump off|(?:hang|drown|shoot) yourself|slit your wrists|die in a (?:fire|ditch|hole)|end your life
+abusive 0.9 run_you_over|make_you_pay|make_you_suffer|make_you_bleed|make_you_regret|end_you|coming_for_you|finish_you => (?:run you over|make you (?:pay|suffer|bleed|regret|cry)|end you|(?:am|'m) coming for you|finish you(?: off)?)(?! (?:with|by))
+abusive 0.9 ought_to|oughta|needs_to|swear => (?:someone|somebody|they|i) (?:ought to|oughta|needs to|has to|swear i(?:'ll| will)) (?:<word> ){0,2}?@violent (?:you(?! (?:into|by|with|on|up))|your <body>)
+abusive 0.7 @vilede => (?:du|ihr|sie) @vilede <word>|du bist (?:<word> ){0,2}?@vilede
+abusive 0.7 espece_de|sale_con|gros_porc|gros_con|pauvre_type|petit_con => espece de (?:<word> )?(?:con|conne|porc|merde|cretin|idiot|abruti|debile|ordure|batard|lache|clown|malade|porc)|(?:gros|petit|sale) (?:con|porc|connard|batard)
+abusive 0.7 mas_tont|mas_estupid|eres_tont|eres_idiota|das_asco|me_das => mas (?:tont|estupid|inutil|fe)[oa]s? que|eres tont[oa]|(?:me )?das asco
 # general forms of contempt for a group: slurs, what it is likened to, what should be done with it
 hateful 0.9 @slurs => @slurs
 hateful 0.8 @beast => (?:<group>|(?:<word> |those |these )people) (?:are|is) (?:all |nothing but |just |like |only |really |dirty |filthy |stinking |lazy |fucking |an? |nothing more than )*(?:<word> )?@beast|(?:vermin|scum|animals|parasites|subhumans) like (?:the |these |those )?<group>
@@ -105,7 +118,24 @@ hateful 0.8 @vermine => (?:ces |les |tous les )<group> (?:ne )?sont (?:tous |que
 hateful 0.9 exterminer|eliminer|bruler|gazer|pendre|expulser|tuer => (?:exterminer|eliminer|bruler|gazer|pendre|expulser|tuer) (?:tou(?:s|tes) )?(?:les |ces )<group>
 hateful 0.8 @alimana => (?:l[oa]s |es[oa]s |est[oa]s |tod[oa]s l[oa]s )<group> son (?:tod[oa]s |solo |unas? |unos |como )*(?:<word> )?@alimana
 hateful 0.9 exterminar|eliminar|quemar|gasear|ahorcar|expulsar|matar => (?:exterminar|eliminar|quemar|gasear|ahorcar|expulsar|matar) a (?:tod[oa]s )?(?:l[oa]s |es[oa]s )<group>
+hateful 0.8 @faults => <group>(?: people)?(?: (?:are|is|were|all|always|only|just|both|so|too|such|really|do nothing but|will|would)){1,4} (?:<word> (?:and|or) )?@faults|(?:<group>),? (?:they|who)(?: all| always| only| just)* (?:are )?@faults
+hateful 0.8 @harmed => <group> (?:(?:should|must|ought to|need to|have to|deserve to)(?: all| be| get| just)*) @harmed
+hateful 0.8 never_hire|never_trust|never_marry|don't_hire|don't_trust|not_trust|not_hire|never_let|don't_let => (?:never|don't|do not) (?:hire|trust|marry|believe|employ|serve|let|rent to|date) (?:an? |any |the )?<group>
+hateful 0.8 go_back|go_home|back_where|get_out_of => <group>,? (?:should |must |can |need to )?(?:all )?(?:go back|go home|get out)
+hateful 0.7 a_burden|a_plague|a_disease|a_threat_to_our|the_problem => <group> (?:people )?are (?:an? |the |all a |nothing but a )(?:burden|plague|disease|pest|cancer|curse|threat to our|problem with)
+hateful 0.8 raus|schuld|klauen|stehlen|stinken|lugen|faul|dumm|weg|nichts_wert => (?:<group>) (?:raus|sind (?:<word> ){0,3}?(?:schuld|faul|dumm|nichts wert)|klauen|stehlen|stinken|lugen|gehoren (?:<word> ){0,2}?(?:weg|raus))|und gehoren weg
+hateful 0.8 puent|mentent|volent|dehors|retournez|voleurs|menteurs => <group> (?:puent|mentent|volent|dehors)|<group> sont (?:tous |toutes )?(?:des )?(?:voleurs|menteurs|criminels|parasites|terroristes|faineants)
+hateful 0.8 sirven|apestan|mienten|roban|vagos|ladrones|fuera => <group> (?:solo |no |todos )*(?:sirven para nada|apestan|mienten|roban)|<group> son (?:todos |todas |unos |unas )*(?:vag[oa]s|ladron[ea]s|mentiros[oa]s|delincuentes|tont[oa]s)
 # general forms of explicit and soliciting content
+sexual 0.8 into_her|into_him|inside_her|inside_me|inside_him => (?:thrust|thrusting|pushed|pushing|slid|sliding|entered|slipped|plunged|came) (?:<word> ){0,2}?(?:into|inside) (?:her|him|me)(?! (?:room|office|house|account|team|email|mail))|feel (?:you|him|her) inside
+sexual 0.9 sucked_him|sucked_her|sucked_me|suck_me|suck_him|sucking_him|sucked_off|jerk_off|jerked_off|get_off_on => suck(?:ed|ing|s)? (?:him|me|her|you)(?: off)?|jerk(?:ed|ing)? off
+sexual 0.9 anal|oral => (?:have|want|like|love|do|try|had) anal|anal (?:tonight|with|fun|play|video)|give (?:me|you|him|her) oral
+sexual 0.8 naked|nude|topless => naked (?:teens?|chest|bod(?:y|ies)|skin|babes?|ladies|guys|girls?|wom[ae]n|breasts|in (?:my|your|his|her) bed|for (?:me|you)|on (?:cam|camera|webcam))|(?:see|want|picture|watch|imagine|make) (?:you|her|him|me) (?:naked|nude|topless)
+sexual 0.8 wet_lips|lips_moved|licked_her|licked_his|kissed_her_way|bit_her_lip|moaned|moaning|climax|orgasm => wet (?:lips|pussy|panties|cunt)|lips (?:moved|slid|travelled) down (?:his|her)|licked (?:his|her|my) <word>|moan(?:ed|ing) (?:with|in|as|his|her|my)|(?:reached|came to) (?:a |her |his )?climax
+sexual 0.8 mit_dir_schlafen|mit_mir_schlafen|hoschen|auszieh|brustwarzen|nackt_sehen => mit (?:dir|mir|ihr) schlafen|zieh (?:dein|deine|dich|dir) <any>aus|(?:dein|ihr|mein) hoschen|brustwarzen|dich nackt
+sexual 0.8 montre-moi|montre_moi|tes_seins|tes_fesses|enleve_ta|enleve_ton|faire_l'amour => montre(?:-| )moi (?:tes|ton|ta) (?:seins|cul|fesses|corps|chatte|culotte)|enleve (?:ta|ton|tes) <word>|(?:envie|veux) (?:<word> ){0,3}faire l'amour
+sexual 0.8 verte_desnud|desnud|tus_tetas|tus_pechos|hacerte_el_amor => (?:verte|quiero|estas|te quiero) (?:<word> ){0,2}?desnud[oa]|desnud[oa] en (?:mi|tu) (?:cama|cuarto)|tus (?:tetas|pechos)|hacerte el amor
+
 sexual 0.9 dildo|anal_sex|oral_sex|cumshot|creampie|gangbang|threesome|deepthroat|milf|camgirl|fetish|bdsm|hentai|cunnilingus|fellatio|ejaculat|masturbat|penis|vagina|clitoris|erection => dildos?|(?:anal|oral) sex|cumshots?|creampies?|gangbangs?|threesomes?|deepthroat(?:s|ing)?|milfs?|camgirls?|(?:foot|sex(?:ual)?) fetish(?:es)?|bdsm|hentai|cunnilingus|fellatio|ejaculat(?:e|es|ed|ing|ion)|masturbat(?:e|es|ed|ing|ion)|(?:his|her|my|your|hard|erect) penis|(?:her|your|wet|my) (?:vagina|clitoris)|(?:his|an|my|your) erection
 sexual 0.8 have_sex|had_sex|having_sex|sex_with|want_you_naked|get_naked|lick_your|lick_my|suck_my|suck_your|ride_me|between_your_legs|between_her_legs|spread_|inside_her|inside_me|inside_you|inside_him|wet_for|hard_for|in_bed_with => (?:have|had|having) sex|sex with (?:me|you|him|her|us)|want you naked|get naked (?:for|with|and)|(?:lick|suck|ride|bang) (?:my|your|me|his|her) ?(?:<word>)?|between (?:your|her) legs|spread (?:your|her|his|my) (?:legs|thighs|cheeks)|(?:came|cum|come|pushed|thrust|thrusting|slid|pushing) (?:deep )?inside (?:her|me|you|him)|so (?:wet|hard) for (?:you|me)
 sexual 0.8 her_nipples|your_nipples|her_thighs|your_thighs|her_panties|her_bra|your_bra|naked_body|nude_body|bare_breasts => (?:her|your|his|my) (?:nipples|thighs|panties|bra|crotch|bosom)|(?:naked|nude) body|bare breasts
