@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions import lines as L, text as T
-from ..operators import evalkit, graph, planner, rewrite
+from ..operators import evalkit, evidence, graph, planner, rewrite
 from ..session import checkpointing
 from ..sources import files
 from ..sources.tables import table
@@ -366,6 +366,45 @@ select 'Section' as label, doc_id, count(distinct child) as n from i group by do
     roles = " ".join(f"when regexp_matches(text, '(?i)\\b{r}\\b') then '{r}'" for r in rewrite.ROLES)
     w["stated_roles"] = f"with {O.SECTIONED} select case {roles} else 'none' end as role, count(*) as n from blocks where text is not null group by 1"
 
+    # texts as they are stored
+    java = "[\\s\\v\\p{Z}\\x{85}]"  # white space as the JVM has it
+    trimmed = lambda x: f"regexp_replace({x}, '^{java}+|{java}+$', '', 'g')"
+    solid = "[^\\s\\v\\p{Z}\\x{85}]+"
+    w["acronym_counts_whole"] = "with t as (select unnest(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]{2,8}'))) as acronym from documents) select acronym, count(*) as n from t group by acronym"
+    w["approx_token_counts_whole"] = f"select doc_id, cast(greatest(1, len(regexp_extract_all(coalesce(text, ''), '{solid}'))) as integer) as n from documents"
+    w["token_windows_whole"] = f"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '{solid}') as words from documents),
+s as (select doc_id, words, unnest(range(cast(greatest(0, ceil((len(words) - 320) / 256.0)) as bigint) + 1)) as i from t where len(words) > 0)
+select doc_id, cast(i as integer) as i, md5(array_to_string(words[i * 256 + 1 : i * 256 + 320], ' ')) as digest from s"""
+    w["char_windows_whole"] = f"""
+with t as (select doc_id, {trimmed("coalesce(text, '')")} as x from documents),
+s as (select doc_id, x, unnest(range(cast(greatest(0, ceil((length(x) - 2200) / 1760.0)) as bigint) + 1)) as i from t where length(x) > 0),
+p as (select doc_id, i, {trimmed('substring(x, i * 1760 + 1, 2200)')} as y from s), k as (select doc_id, y, row_number() over (partition by doc_id order by i) - 1 as i from p where y <> '')
+select doc_id, cast(i as integer) as i, cast(length(y) as integer) as n, md5(y) as digest from k"""
+    parts = lambda x: f"list_filter(string_split(regexp_replace({trimmed(x)}, '([.?!]){java}+', '\\1' || chr(1), 'g'), chr(1)), lambda y: {trimmed('y')} <> '')"
+    empty = "coalesce(text, '')"
+    w["sentence_counts_whole"] = f"select doc_id, cast(len({parts(empty)}) as integer) as n from documents"
+    canon_x = trimmed("regexp_replace(regexp_replace(lower(x), '\\p{Nd}+', '', 'g'), '[ \\t]+', ' ', 'g')")
+    w["canon_lines_whole"] = f"with t as (select unnest(string_split(text, chr(10))) as x from documents) select {canon_x} as line, count(*) as n from t group by 1"
+    w["previews_whole"] = f"with {O.CHUNKS}, t as (select chunk_id, replace({trimmed('text')}, chr(10), ' ') as x from chunks) select chunk_id, case when length(x) > 80 then left(x, 80) || '...' else x end as preview from t"
+    none = "coalesce({}, '')".format
+    w["embedding_texts_whole"] = f"""
+with {O.SECTIONED}, t as (select chunk_id, {trimmed(none('doc_id'))} as doc, {trimmed(none('section_path'))} as path, {trimmed(none('text'))} as x from blocks)
+select chunk_id, md5(case when x <> '' and doc <> '' and path <> '' then doc || ' > ' || path || chr(10) || chr(10) || x else x end) as digest from t"""
+    said = trimmed("coalesce(answer, '')")
+    w["answer_metrics_whole"] = f"""
+with {O.PAIRS}, t as (select pair_id, answerable, {said} as x, coalesce(len(citations), 0) as n from a),
+m as (select *, lower(x) = 'not found in provided docs' as refuses, {parts('x')} as s from t)
+select pair_id, refuses as is_refusal, cast(n as integer) as citation_count, case when refuses then n = 0 else n > 0 end as citation_presence_ok,
+  round(case when not refuses and len(s) > 0 then len(list_filter(s, lambda z: regexp_matches(z, '\\[c\\d+\\]'))) / len(s) end, 6) as rate, cast(refuses = (not answerable) as double) as refusal_accuracy from m"""
+
+    w["enforced_answers_whole"] = f"""
+with {O.PAIRS}, t as (select pair_id, {said} as x, coalesce(citations, []) as c from a),
+k as (select *, {O.KEYS.format('x')} as used, {parts('x')} as s from t),
+r as (select *, lower(x) in ({', '.join(map(repr, evidence.REFUSALS))}) or len(used) = 0 or len(list_filter(used, lambda u: not list_contains(list_transform(c, lambda y: y.key), u))) > 0
+  or len(list_filter(s, lambda z: len({O.KEYS.format('z')}) = 0)) > 0 as bad from k)
+select pair_id, bad as refused, cast(case when bad then 0 else len(list_filter(c, lambda y: list_contains(used, y.key))) end as integer) as n_used from r"""
+
     # the lexical index over joined identifiers
     whole = {name: O.oracle_sql()[name] for name in ("index_terms", "index_corpus", "bm25_topk", "bm25_score_texts")}
     index = O.CHUNKS + f",\n{joined('chunks', 'chunk_id', 'text', 'body')},\nlisted as (select vector_id, chunk_id, {O.tokens('x')} as toks from store join body on chunk_id = k)," + O.INDEX.split("as toks from store),", 1)[1]
