@@ -416,6 +416,14 @@ select pair_id, bad as refused, cast(case when bad then 0 else len(list_filter(c
     w["bm25_score_texts_whole"] = whole["bm25_score_texts"].replace(O.INDEX, index).replace(O.SEARCHED, asked).replace(", pr as (", f", {joined(text, 'chunk_id', 'text', 'shown')}, pr as (").replace(O.tokens("query"), O.tokens("said.x")).replace(
         O.tokens("f.text"), O.tokens("case when f.text is null then '' else shown.x end")).replace("join asked using (qid) where rk <= 20)", "join asked using (qid) join said on f.qid = said.k left join shown on f.chunk_id = shown.k where rk <= 20)").replace("with ", "with recursive ", 1)
 
+    plain = O.oracle_sql()
+    said_too = O.QUESTIONS.replace("q as (", "q0 as (") + f",\n{joined('q0', 'qid', 'question', 'said')},\nq as (select q0.* replace (said.x as question) from q0 join said on q0.qid = said.k)"
+    shown_too = O.FUSED.replace("fused as (", "fused0 as (") + f""",
+{joined("(select chunk_id, max(text) as text from fused0 where text is not null group by chunk_id)", 'chunk_id', 'text', 'shown')},
+fused as (select f.* replace (case when f.text is not null then shown.x end as text) from fused0 f left join shown on f.chunk_id = shown.k)"""
+    w["rerank_hits_whole"] = plain["rerank_hits"].replace(O.INDEX, index).replace(O.FUSED, shown_too).replace(O.QUESTIONS, said_too).replace("with ", "with recursive ", 1)
+    w["miss_causes_whole"] = plain["miss_causes"].replace(plain["rerank_hits"], w["rerank_hits_whole"])
+
     # cleaning
     v = signs
     done, following = rstrip("o[-1].t"), f"regexp_replace(n.t, '^[{WS}]+', '')"
