@@ -143,6 +143,18 @@ def prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit(rules + "Question:\n"), question, F.lit("\n\nEvidence:\n"), context)
 
 
+def stub_payload(queries: DataFrame, hits: DataFrame, limit: int = 220) -> DataFrame:
+    """``qid, answer, citations, refusal_reason`` without a generator: the beginning of the first hit, and the first two hits as citations."""
+    rows = hits.where(F.col("rank") <= 2).select("qid", F.struct("rank", "doc_id", "start_page", "end_page", "chunk_id", "text").alias("h"))
+    two = rows.groupBy("qid").agg(F.array_sort(F.collect_list("h"), lambda a, b: a["rank"] - b["rank"]).alias("h"))
+    d = queries.join(two, "qid", "left")
+    text = T.strip(F.left(F.regexp_replace(T.strip(F.coalesce(F.get("h", F.lit(0))["text"], F.lit(""))), "\n", " "), F.lit(limit)))
+    said = F.concat(F.coalesce(F.nullif(text, F.lit("")), T.strip(F.col("query"))), F.lit(" [c1]"))
+    cited = F.transform("h", lambda x, i: F.struct(F.concat(F.lit("c"), (i + 1).cast("string")).alias("key"), x["doc_id"].alias("doc_id"), x["start_page"].alias("start_page"), x["end_page"].alias("end_page"), x["chunk_id"].alias("chunk_id")))
+    some = F.col("h").isNotNull()
+    return d.select("qid", F.when(some, said).otherwise(REFUSAL).alias("answer"), F.when(some, cited).otherwise(F.array()).alias("citations"), F.when(~some, "insufficient_evidence").alias("refusal_reason"))
+
+
 def stub_answer(question: str, context: str) -> str:
     """A generator for tests: the beginning of the first piece of evidence, cited."""
     first = context.split("\n\n---\n\n")[0].split("\n", 1)[-1].strip().replace("\n", " ")[:220].strip()

@@ -159,4 +159,23 @@ select t.qid, mode_hint, canonical_query,
   least(0.95::double, round(0.52::double + case when a is not null then 0.16 else 0 end + case when len(spans) > 0 then 0.12 else 0 end + case when {scope.replace('(x,', '(t.x,')} then 0.08 else 0 end + case when term is not null then 0.05 else 0 end, 3)) as confidence,
   mode_hint = 'compare' or (mode_hint = 'definition' and lower(aim.x) <> lower(normal)) as rewrite_needed
 from t join aim on aim.k = t.qid"""
+    aliases = lambda x: "coalesce(" + ", ".join(f"case when regexp_matches({x}, '{p}') then '{d}' end" for p, d, _ in rewrite.ALIASES) + ", null)"
+    every_doc = ", ".join(f"case when regexp_matches(st.x, '{p}') then '{d}' end" for p, d, _ in rewrite.ALIASES)
+    edge, end = "(?:^|[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}])", "(?:$|[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}])"
+    w["evidence_assessment"] = f"""{spans}, {O.FUSED}, pm as (select * from ({planned})),
+{joined("(select chunk_id, max(text) as text from fused where rk <= 8 and text is not null group by chunk_id)", 'chunk_id', 'text', 'shown')},
+ev as (select qid, chunk_id, doc_id, lower(case when text is null then '' else shown.x end) as body from fused left join shown on chunk_id = shown.k where rk <= 8),
+st as (select spans.qid, spans.x, list_filter(spans.spans, lambda y: not ({names_doc})) as sp, case when topic_a is null then [] else [topic_a, topic_b] end as tp from spans join pm using (qid)),
+ask as (select distinct qid, unnest(list_concat(sp, tp)) as span from st),
+{joined('ask', "qid || chr(1) || span", 'span', 'want')},
+held as (select distinct ask.qid, span from ask join want on want.k = ask.qid || chr(1) || span join ev on ev.qid = ask.qid
+  where want.x <> '' and case when regexp_matches(lower(want.x), '[._-]|\\p{{Nd}}|[{WS}]') then contains(body, lower(want.x)) else regexp_matches(body, '{edge}' || regexp_escape(lower(want.x)) || '{end}') end),
+met as (select qid, list(span) as met from held group by qid),
+seen as (select qid, count(distinct chunk_id) as hits, count(distinct doc_id) as docs, list_distinct(list(doc_id)) as present from ev group by qid),
+d as (select st.*, list_filter([{every_doc}], lambda y: y is not null) as doc_ids, coalesce(hits, 0) as hits, coalesce(docs, 0) as docs, coalesce(present, []) as present, coalesce(met, []) as met from st left join seen using (qid) left join met using (qid)),
+e as (select *, list_filter(sp, lambda y: not list_contains(met, y)) as ms, list_filter(tp, lambda y: not list_contains(present, {aliases('y')})) as by_doc, len(list_filter(tp, lambda y: {aliases('y')} is not null)) = 2 as known from d),
+f as (select *, case when len(tp) < 2 then [] when len(doc_ids) >= 2 and known and len(by_doc) > 0 then by_doc else list_filter(tp, lambda y: not list_contains(met, y)) end as mt from e),
+g as (select qid, hits, docs, list_filter([case when len(doc_ids) > 0 and hits = 0 then 'wrong_doc_scope' end, case when len(ms) > 0 then 'missing_protected_span' end, case when len(tp) = 2 and len(mt) > 0 then 'one_sided_comparison' end,
+  case when hits < 2 then 'insufficient_hits' end], lambda y: y is not null) as reasons from f)
+select qid, array_to_string(reasons, ',') as reasons, len(reasons) = 0 as sufficient, hits, docs as doc_diversity from g"""
     return w

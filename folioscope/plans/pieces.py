@@ -16,7 +16,7 @@ from ..session import checkpointing
 from ..sources import files
 from ..sources.tables import table
 from . import oracles as O
-from .datasets import hits, questions, sectioned_chunks
+from .datasets import fused, hits, questions, sectioned_chunks
 
 # ---- queries -------------------------------------------------------------------------------------------------
 
@@ -153,9 +153,15 @@ def stated_roles(s, d):
     return sectioned_chunks(s, d).where("text is not null").groupBy(F.coalesce(rewrite.role(F.col("text")), F.lit("none")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def stub_answers(s, d):
+    """G19."""
+    out = evidence.stub_payload(questions(s, d).select("qid", F.col("question").alias("query")), fused(s, d, 8))
+    return out.select("qid", F.md5("answer").alias("digest"), F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["key"], c["chunk_id"])), " ").alias("cited"), "refusal_reason")
+
+
 QUERIES = [
     line_kinds, unicode_texts, section_paths, clean_topics, section_ids, page_records, question_files, question_lines, appended_terms, clamped_scores, natural_order, algorithm_steps, algorithm_mentions,
-    planner_modes, document_scopes, defining_sections, topics_in_texts, graph_files, stated_roles,
+    planner_modes, document_scopes, defining_sections, topics_in_texts, graph_files, stated_roles, stub_answers,
 ]
 
 # ---- SQL: identifiers (T05, T06) -------------------------------------------------------------------------------
@@ -455,6 +461,11 @@ d as (select * from prim where regexp_matches(coalesce(text, ''), '[^{WS}]')),
 t as (select *, row_number() over (partition by qid order by p) as pos, sum(length(text)) over (partition by qid order by p rows between unbounded preceding and current row) as total from d),
 s as (select *, {strip('text')} as body from t where pos <= 6 and (pos = 1 or total <= 12000))
 select qid, cast(count(*) as integer) as n, md5(string_agg({block}, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos)) as digest from s group by qid"""
+    opening = strip(f"left(replace({strip(none('text'))}, chr(10), ' '), 220)")
+    w["stub_answers"] = f"""
+with {O.FUSED}, {O.QUESTIONS}, t as (select qid, min(case when rk = 1 then {opening} end) as x, string_agg('c' || rk || ':' || chunk_id, ' ' order by rk) as cited from fused where rk <= 2 group by qid)
+select q.qid, md5(case when t.qid is null then 'not found in provided docs' else coalesce(nullif(x, ''), {strip('question')}) || ' [c1]' end) as digest, coalesce(cited, '') as cited, case when t.qid is null then 'insufficient_evidence' end as refusal_reason
+from q left join t on t.qid = q.qid"""
     measured = O.oracle_sql()["retrieval_metrics"]
     w["config_summary"] = f"""
 with {O.PAIRS}, {O.QUESTIONS}, m as (select qid, recall, mrr, ndcg from ({measured}) where k = 8),
