@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions import lines as L, text as T
-from ..operators import evalkit, evidence, graph, planner, rewrite
+from ..operators import evalkit, evidence, graph, manifest, planner, rewrite
 from ..session import checkpointing
 from ..sources import files
 from ..sources.tables import table
@@ -159,9 +159,14 @@ def stub_answers(s, d):
     return out.select("qid", F.md5("answer").alias("digest"), F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["key"], c["chunk_id"])), " ").alias("cited"), "refusal_reason")
 
 
+def document_hash(s, d):
+    """The order-free hash of the documents' columns that are texts or ids."""
+    return manifest.table_hash(table(s, d, "documents").select("doc_id", "doc_ref", "lang", "source", "text"))
+
+
 QUERIES = [
     line_kinds, unicode_texts, section_paths, clean_topics, section_ids, page_records, question_files, question_lines, appended_terms, clamped_scores, natural_order, algorithm_steps, algorithm_mentions,
-    planner_modes, document_scopes, defining_sections, topics_in_texts, graph_files, stated_roles, stub_answers,
+    planner_modes, document_scopes, defining_sections, topics_in_texts, graph_files, stated_roles, stub_answers, document_hash,
 ]
 
 # ---- SQL: identifiers (T05, T06) -------------------------------------------------------------------------------
@@ -466,6 +471,10 @@ select qid, cast(count(*) as integer) as n, md5(string_agg({block}, chr(10) || c
 with {O.FUSED}, {O.QUESTIONS}, t as (select qid, min(case when rk = 1 then {opening} end) as x, string_agg('c' || rk || ':' || chunk_id, ' ' order by rk) as cited from fused where rk <= 2 group by qid)
 select q.qid, md5(case when t.qid is null then 'not found in provided docs' else coalesce(nullif(x, ''), {strip('question')}) || ' [c1]' end) as digest, coalesce(cited, '') as cited, case when t.qid is null then 'insufficient_evidence' end as refusal_reason
 from q left join t on t.qid = q.qid"""
+    filled = ", ".join(f"case when {c} is not null then '\"{c}\":' || to_json({c}) end" for c in ("doc_id", "doc_ref", "lang", "source", "text"))
+    w["document_hash"] = f"""
+with r as (select sha256('{{' || array_to_string(list_filter([{filled}], lambda x: x is not null), ',') || '}}') as h from documents)
+select count(*) as n, cast(sum(cast('0x' || substring(h, 1, 12) as bigint)) as decimal(38, 0)) as digest from r"""
     measured = O.oracle_sql()["retrieval_metrics"]
     w["config_summary"] = f"""
 with {O.PAIRS}, {O.QUESTIONS}, m as (select qid, recall, mrr, ndcg from ({measured}) where k = 8),
