@@ -458,6 +458,29 @@ walk as (
 fin as (select page_id, {strip("array_to_string(list_transform(o, lambda x: case when x.p then " + flat + " else x.t end), chr(10))")} as x from walk where i = len(l))
 select page_id, cast(length(x) as integer) as n, md5(x) as digest from fin"""
 
+    group_lines = f"list_filter(list_transform(string_split(g, chr(10)), lambda y: {rstrip('y')}), lambda y: {strip('y')} <> '')"
+    kind = lambda y: f"({v(y)['aligned']} or {v(y)['code']} or {v(y)['math']})"
+    blank = WS.replace("\\s", "\\t\\f\\r ").replace("\\v", "\\x0b")
+    join2 = "array_to_string({}, chr(10) || chr(10))".format
+    w["chunk_v1"] = w["clean_pages"].split("select page_id, cast(length(x)")[0].rstrip() + f""",
+sections as (select page_id, string_split(regexp_replace(x, '\\n(?:[{blank}]*\\n)+', chr(1), 'g'), chr(1)) as gs from fin),
+lined as (select page_id, list_filter(list_transform(gs, lambda g: {group_lines}), lambda g: len(g) > 0) as gs from sections),
+blocks as (select page_id, list_filter(list_transform(gs, lambda g: case when len(list_filter(g, lambda y: {kind('y')})) >= greatest(1, len(g) // 2) then {strip('array_to_string(g, chr(10))')}
+  else array_to_string(list_transform(g, lambda y: {strip('y')}), ' ') end), lambda y: y <> '') as bs from lined),
+pack as (
+  select page_id, bs, 0 as i, cast([] as varchar[]) as held, cast([] as varchar[]) as done from blocks
+  union all
+  select page_id, bs, i + 1, case when single then h2 else list_append(h2, b) end, case when single then list_append(o1, b) else o1 end
+  from (select *, (length(b) > 2200 and len(held) = 0) or (c and length(b) > 2200 and len(h2) = 0) as single
+    from (select *, case when c and len(h1) > 0 and length({join2('h1')}) + 2 + length(b) > 2200 then [] else h1 end as h2
+      from (select *, case when c and len(held) > 0 and size >= 250 then list_append(done, {join2('held')}) else done end as o1, case when c then held[-1:] else held end as h1
+        from (select *, not (length(b) > 2200 and len(held) = 0) and total > 1400 and (total > 2200 or size >= 250) as c
+          from (select *, size + length(b) + case when len(held) > 0 then 2 else 0 end as total from (select *, bs[i + 1] as b, length({join2('held')}) as size from pack where i < len(bs)))))))),
+packed as (select page_id, list_transform(case when length({join2('held')}) >= 250 then list_append(done, {join2('held')}) else done end, lambda y: {strip('y')}) as cs from pack where i = len(bs)),
+kept as (select page_id, list_filter(cs, lambda y: y <> '') as cs from packed), cut as (select page_id, cs, unnest(range(1, len(cs) + 1)) as j from kept)
+select coalesce(nullif(trim(doc_id), ''), 'unknown_doc') || '::p' || printf('%04d', page_number) || '::c' || printf('%03d', j - 1) as chunk_id, coalesce(nullif(trim(doc_id), ''), 'unknown_doc') as doc_id, page_number as start_page,
+  cast(length(cs[j]) as integer) as char_len, cast(greatest(1, length(cs[j]) // 4) as integer) as approx_tokens from cut join own using (page_id)"""
+
     # evidence, evaluation
     block = f"'[c' || pos || '] ' || doc_id || ' p' || start_page || '-p' || end_page || ' chunk_id=' || chunk_id || chr(10) || {pretty('body')}"
     w["evidence_contexts"] = f"""
