@@ -103,7 +103,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     ranked.  Ties go to the smaller id.
     """
     n = queries.count()
-    dim = (vectors.select(F.size("vector")).head() or [0])[0]
+    dim = (queries.select(F.size("vector")).head() or [0])[0]
     passes = max(1, -(-n * max(dim, 1) * 8 // CARRIED))
     found = None
     for i in range(passes):

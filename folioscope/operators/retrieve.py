@@ -24,6 +24,7 @@ class Corpus:
     encode: Callable[[DataFrame], DataFrame]  # (qid, query) -> (qid, vector)
     metadata: DataFrame | None = None  # chunk_id, section_path
     normalize: bool = True
+    texts: DataFrame | None = None  # chunk_id, text, any number of rows a chunk: where the texts of hits come from, if not from the store
 
 
 def retriever(name: str) -> Callable[[Corpus, DataFrame, int], DataFrame]:
@@ -52,11 +53,15 @@ def hashed_encoder(normalize: bool = True, dim: int = 64) -> Callable[[DataFrame
     return encode
 
 
-def corpus_of(store: DataFrame, *, normalize: bool = True, dim: int = 64, metadata: DataFrame | None = None) -> Corpus:
-    """A corpus over a chunk store with the built-in encoder."""
+def corpus_of(store: DataFrame, *, normalize: bool = True, dim: int = 64, metadata: DataFrame | None = None, texts: DataFrame | None = None, keep_vectors: bool = True) -> Corpus:
+    """A corpus over a chunk store with the built-in encoder.
+
+    ``keep_vectors`` writes the vectors to the checkpoint folder, for several
+    searches; without it they are made as a search reads them.
+    """
     encode = hashed_encoder(normalize, dim)
     vectors = encode(store.select(F.col("vector_id").alias("qid"), F.col("text").alias("query"))).withColumnRenamed("qid", "id")
-    return Corpus(store, lexical.build_index(store, normalize=normalize, keep=True), vectors.checkpoint(), encode, metadata, normalize)
+    return Corpus(store, lexical.build_index(store, normalize=normalize, keep=True), vectors.checkpoint() if keep_vectors else vectors, encode, metadata, normalize, texts)
 
 
 def in_scope(hits: DataFrame, doc_ids: list[str] | None) -> DataFrame:
@@ -97,7 +102,7 @@ def candidates(requests: DataFrame, corpus: Corpus, k: int, search_k: int, doc_i
 def staged(rankings: DataFrame, queries: DataFrame, corpus: Corpus, conf: EngineConf, doc_ids: list[str] | None = None, sections: DataFrame | None = None) -> Stages:
     """Fusion, reranking and the final cut over given rankings."""
     pool = max(conf.top_k, conf.retrieval_rerank_pool)
-    fused = fuse.rrf(rankings, max(pool, DEPTH), conf.retrieval_rrf_k0, corpus.store)
+    fused = fuse.rrf(rankings, max(pool, DEPTH), conf.retrieval_rrf_k0, corpus.store if corpus.texts is None else corpus.texts)
     shown = fused.where(F.col("rank") <= pool)
     if conf.retrieval_enable_rerank:
         shown = rerank.rerank(shown, queries, corpus.index, pool, sections, corpus.metadata, normalize=corpus.normalize)

@@ -311,9 +311,10 @@ def anchor_spans(s, d):
     return questions(s, d).select("qid", F.explode(rewrite.protected_spans(F.col("question"))).alias("span"))
 
 
-def corpus(s, d, normalize: bool = True) -> retrieve.Corpus:
+def corpus(s, d, normalize: bool = True, keep_vectors: bool = False) -> retrieve.Corpus:
     chunks = chunk_store(s, d)
-    return retrieve.corpus_of(chunks, normalize=normalize, metadata=chunks.select("chunk_id", F.col("doc_id").alias("section_path")))
+    texts = table(s, d, "chunk_hits").where("doc_id is not null and chunk_id is not null").select("chunk_id", "text")
+    return retrieve.corpus_of(chunks, normalize=normalize, metadata=chunks.select("chunk_id", F.col("doc_id").alias("section_path")), texts=texts, keep_vectors=keep_vectors)
 
 
 def rerank_hits(s, d, normalize: bool = False):
@@ -493,7 +494,7 @@ def evidence_assessment(s, d):
 
 
 def agent_answers(s, d):
-    out = api.ask_agent(search_set(s, d), corpus(s, d), CONF)
+    out = api.ask_agent(search_set(s, d), corpus(s, d, keep_vectors=True), CONF)
     return out.select("qid", "result", "refusal_reason", "stop_reason", "round")
 
 
